@@ -62,7 +62,7 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
 
     Below limit_bytes small is broadcast. Beyond, both sides are salted, so that no key, however
     frequent in big, goes to one task: small is copied JOIN_SALTS times and each row of big takes
-    the salt of a hash of spread_by (all its columns if None). how: inner, left or left_semi.
+    the salt of a hash of spread_by (all its columns if None). how: inner, left, left_semi or left_anti.
     """
     if estimated_bytes(small) <= limit_bytes:
         return big.join(F.broadcast(small), on, how)
