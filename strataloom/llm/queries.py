@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.snapshots import current_rows
 from ..runtime import materialize, read
+from .leakage import leaks
+from .mixture import mixture
 from .quantiles import digests, merge, percentiles
 from .topn import top_n
 
@@ -34,7 +36,32 @@ def p6_from_repos(spark: SparkSession, where: str) -> DataFrame:
     return percentiles(merge(digests(rows, ["language", "repo"], _MEASURES), ["language"]), ["language"], PROBS)
 
 
-QUERIES = {"p4_found": p4_found, "p6_percentiles": p6_percentiles, "p6_from_repos": p6_from_repos}
+def p7_found(spark: SparkSession, where: str) -> DataFrame:
+    return leaks(read(spark, where, "documents"), read(spark, where, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_coverage(spark: SparkSession, where: str) -> DataFrame:
+    """The leaks whose tiles cover at least half of the item."""
+    return leaks(read(spark, where, "documents"), read(spark, where, "eval_items")).where("coverage >= 0.5")
+
+
+def p8_mixture(spark: SparkSession, where: str) -> DataFrame:
+    return mixture(read(spark, where, "documents"), read(spark, where, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, where: str) -> DataFrame:
+    return mixture(read(spark, where, "documents"), read(spark, where, "mix_targets"))[1]
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p6_percentiles": p6_percentiles,
+    "p6_from_repos": p6_from_repos,
+    "p7_found": p7_found,
+    "p7_coverage": p7_coverage,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+}
 
 SQL = {
     "p4_found": """
