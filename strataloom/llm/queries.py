@@ -9,6 +9,7 @@ from ..operators.snapshots import current_rows
 from ..runtime import materialize, read
 from .leakage import leaks
 from .mixture import mixture
+from .pii import found_in, redact
 from .quantiles import digests, merge, percentiles
 from .topn import top_n
 
@@ -53,6 +54,14 @@ def p8_shares(spark: SparkSession, where: str) -> DataFrame:
     return mixture(read(spark, where, "documents"), read(spark, where, "mix_targets"))[1]
 
 
+def p9_redacted(spark: SparkSession, where: str) -> DataFrame:
+    return redact(read(spark, where, "documents"), read(spark, where, "name_list"))
+
+
+def p9_found(spark: SparkSession, where: str) -> DataFrame:
+    return found_in(p9_redacted(spark, where))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p6_percentiles": p6_percentiles,
@@ -61,6 +70,8 @@ QUERIES = {
     "p7_coverage": p7_coverage,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 SQL = {
