@@ -24,11 +24,17 @@ def p4_found(spark: SparkSession, where: str) -> DataFrame:
 
 
 def p6_percentiles(spark: SparkSession, where: str) -> DataFrame:
-    """Of each language and snapshot, and merged from those, of each language (snapshot_no null)."""
+    """Of each language and snapshot, of each language and repository, and merged from the former, of each language.
+
+    The column that does not apply is null.
+    """
     rows = read(spark, where, "code_functions")
-    each = materialize(digests(rows, ["language", "snapshot_no"], _MEASURES), "digests")
-    whole = merge(each, ["language"])
-    return percentiles(each, ["language", "snapshot_no"], PROBS).unionByName(percentiles(whole, ["language"], PROBS).withColumn("snapshot_no", F.lit(None).cast("bigint")))
+    by_snapshot = materialize(digests(rows, ["language", "snapshot_no"], _MEASURES), "digests")
+    by_repo = digests(rows, ["language", "repo"], _MEASURES)
+    each = percentiles(by_snapshot, ["language", "snapshot_no"], PROBS).withColumn("level", F.lit("snapshot"))
+    repos = percentiles(by_repo, ["language", "repo"], PROBS).withColumn("level", F.lit("repo"))
+    whole = percentiles(merge(by_snapshot, ["language"]), ["language"], PROBS).withColumn("level", F.lit("language"))
+    return each.unionByName(repos, allowMissingColumns=True).unionByName(whole, allowMissingColumns=True)
 
 
 def p6_from_repos(spark: SparkSession, where: str) -> DataFrame:
