@@ -60,7 +60,7 @@ def _rolling(ids: np.ndarray, m: int) -> np.ndarray:
 class Seeds:
     """The seed table of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], m: int):
+    def __init__(self, items: list[tuple[str | None, str]], m: int):
         self.m, self.vocabulary = m, {}
         parts, self.item_ids, starts, at = [], [], [], 0
         for item_id, text in items:
@@ -142,13 +142,16 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 8, block_byte
     texts = items.select("item_id", "text").where("text IS NOT NULL").dropDuplicates()
     size = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     blocks = max(1, -(-size // block_bytes))
-    rows = spread(documents.select("doc_id", "text").where("text IS NOT NULL"))
+    # ids travel through Python as text, which keeps every digit
+    rows = spread(documents.select(F.col("doc_id").cast("string"), "text").where("text IS NOT NULL"))
+    doc_type, item_type = documents.schema["doc_id"].dataType, items.schema["item_id"].dataType
     parts = []
     for b in range(blocks):
         block = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        shared = spark.sparkContext.broadcast(Seeds([(r[0], r[1]) for r in block], min_words))
-        parts.append(rows.mapInPandas(_tiler(shared, min_words), "doc_id bigint, item_id bigint, n_tiles int, longest int, covered int, item_words int, coverage double"))
-    return reduce(DataFrame.unionByName, parts)
+        shared = spark.sparkContext.broadcast(Seeds([(None if r[0] is None else str(r[0]), r[1]) for r in block], min_words))
+        parts.append(rows.mapInPandas(_tiler(shared, min_words), "doc_id string, item_id string, n_tiles int, longest int, covered int, item_words int, coverage double"))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.withColumns({"doc_id": F.col("doc_id").cast(doc_type), "item_id": F.col("item_id").cast(item_type)})
 
 
 def _tiler(shared, m: int):

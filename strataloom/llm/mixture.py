@@ -59,8 +59,10 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "by
             out = b[list(keep)]
             yield out.assign(tokens=[len(coder.encode_ordinary(t)) if t else 0 for t in b["text"]])
 
-    schema = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return spread(documents.select(*keep, "text")).mapInPandas(count, f"{schema}, tokens bigint")
+    # ids travel through Python as text, which keeps every digit
+    asked = spread(documents.select(*[F.col(c).cast("string").alias(c) for c in keep], "text"))
+    counted = asked.mapInPandas(count, ", ".join(f"{c} string" for c in keep) + ", tokens bigint")
+    return counted.select(*[F.col(c).cast(documents.schema[c].dataType).alias(c) for c in keep], "tokens")
 
 
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:

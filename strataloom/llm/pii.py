@@ -137,7 +137,9 @@ def redact(documents: DataFrame, names: DataFrame, sample: int = SAMPLE) -> Data
                 found.append([{"kind": k, "at": a, "found_text": text[a:e]} for a, e, k, _ in spans])
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": texts, "found": found})
 
-    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id bigint, text string, found array<struct<kind:string,at:int,found_text:string>>")
+    # ids travel through Python as text, which keeps every digit
+    out = spread(documents.select(F.col("doc_id").cast("string"), "text")).mapInPandas(run, "doc_id string, text string, found array<struct<kind:string,at:int,found_text:string>>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 
 def found_in(redacted: DataFrame) -> DataFrame:
