@@ -30,11 +30,12 @@ def salted_aggregate(df: DataFrame, key: str, measures: dict[str, tuple[str, Col
     """(key, more_keys.., measures..) per key.
 
     measures: result name -> (count | sum | max | min, column). heavy: the keys to salt, found by
-    heavy_keys(share) if None. salt_from: columns whose hash is the salt, all if None.
+    heavy_keys(share) if None. salt_from: columns whose hash is the salt, all that can be hashed if None.
     """
     if heavy is None:
         heavy = heavy_keys(df, key, share)
-    row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (salt_from or df.columns)]), F.lit(salts)).cast("int")
+    hashed = salt_from or [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    row_salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.lit(salts)).cast("int")
     salt = F.when(F.col(key).isin(heavy), row_salt).otherwise(F.lit(0)) if heavy else F.lit(0)
     keys = [key, *more_keys]
     values = {name: (F.expr(c) if isinstance(c, str) else c) for name, (_, c) in measures.items()}
