@@ -61,6 +61,18 @@ def module_path(path: Column | str, language: str) -> Column:
     return F.when(last.isin("lib", "main"), root).otherwise(F.array_join(F.filter(plain, lambda s: s != "src"), "::"))
 
 
+def crate_module_path(path: Column | str, crate: str) -> Column:
+    """crate::a::b of a path below the crate's src; lib, main and mod name the directory."""
+    inner = F.regexp_replace(without_extension(path), r"^(.*/)?src/", "")
+    bare = F.regexp_replace(inner, r"(^|/)(lib|main|mod)$", "")
+    return F.concat_ws("::", F.lit(crate), F.nullif(F.replace(bare, F.lit("/"), F.lit("::")), F.lit("")))
+
+
+def in_contexts(module: Column | str, root: str, contexts: list[str]) -> Column:
+    """Whether the context of a module is one of those listed."""
+    return F.coalesce(context_and_layer(module, root)[0].isin(list(contexts)), F.lit(False))
+
+
 def module_path_by_language(path: Column | str, language: Column | str) -> Column:
     out = F.lit(None).cast("string")
     for name in LANGUAGE_SEPARATORS:

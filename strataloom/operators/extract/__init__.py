@@ -61,6 +61,15 @@ def default_registry() -> Registry:
     return r
 
 
+def register_configured(registry: Registry, config: dict[str, dict]) -> None:
+    """Adds languages by configuration: name -> {extensions, like}, where like is a known language whose parser is used."""
+    for name, entry in config.items():
+        parser = registry.get(entry["like"])
+        if parser is None:
+            raise ValueError(f"{name}: no language {entry['like']}")
+        registry.register(name, list(entry["extensions"]), parser)
+
+
 def with_language(files: DataFrame, registry: Registry, only: str | None = None) -> DataFrame:
     """files (path, ..) of known languages with the column language; the filter stands before any parsing."""
     out = F.lit(None).cast("string")

@@ -28,6 +28,9 @@ OPERATORS = (
 OPERANDS = "identifier field_identifier property_identifier type_identifier integer integer_literal float float_literal string string_literal raw_string_literal char_literal boolean true false none null nil".split()
 #: a second table for syntax trees of the richer Rust backend: kinds that add to cyclomatic and cognitive complexity
 RICH_RUST = {"flat_cyclomatic": ["try_expression"], "arm": ["match_arm"], "nested": ["if_expression", "while_expression", "loop_expression", "for_expression"], "cognitive_once": ["match_expression"], "cognitive_flat": ["closure_expression", "async_block"]}
+#: operators and operands of the richer Rust backend
+RICH_OPERATORS = [*OPERATORS, "()", "[]", ".await"]
+RICH_OPERANDS = ["identifier", "path", "field_identifier", "integer_literal", "float_literal", "string_literal", "char_literal", "boolean", "true", "false"]
 MAX_OPERAND_BYTES = 100
 # ---- end of fixed values ----
 
@@ -61,10 +64,10 @@ def complexity(ast_nodes: DataFrame, variant: str = "tree") -> DataFrame:
     return live.groupBy("file", "function_key").agg((1 + F.sum(cc)).cast("bigint").alias("cyclomatic_complexity"), F.sum(cog).cast("bigint").alias("cognitive_complexity"))
 
 
-def halstead_metrics(ast_nodes: DataFrame) -> DataFrame:
-    """(file, function_key, halstead struct): distinct and total operators and operands by node text."""
-    operator = F.col("kind").isin(OPERATORS)
-    operand = F.col("kind").isin(OPERANDS) & (F.length("text") > 0) & (F.octet_length("text") < MAX_OPERAND_BYTES)
+def halstead_metrics(ast_nodes: DataFrame, variant: str = "tree") -> DataFrame:
+    """(file, function_key, halstead struct): distinct and total operators and operands by node text; variant "rich" also counts calls, indexing and paths."""
+    operator = F.col("kind").isin(RICH_OPERATORS if variant == "rich" else OPERATORS)
+    operand = F.col("kind").isin(RICH_OPERANDS if variant == "rich" else OPERANDS) & (F.length("text") > 0) & (F.octet_length("text") < MAX_OPERAND_BYTES)
     per_text = ast_nodes.withColumn("_o", F.when(operator, 1).when(operand, 2)).where("_o IS NOT NULL").groupBy("file", "function_key", "_o", "text").agg(F.count(F.lit(1)).alias("n"))
     one = lambda k, c: F.coalesce(F.sum(F.when(F.col("_o") == k, c)), F.lit(0))
     counted = per_text.groupBy("file", "function_key").agg(one(1, 1).alias("n1"), one(2, 1).alias("n2"), one(1, F.col("n")).alias("t1"), one(2, F.col("n")).alias("t2"))
@@ -143,3 +146,32 @@ def change_coupling(commit_files: DataFrame, most_files: int = 100) -> DataFrame
     together = pairs.groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("together"))
     a, b = each.select(F.col("file").alias("file_a"), F.col("n").alias("na")), each.select(F.col("file").alias("file_b"), F.col("n").alias("nb"))
     return together.join(a, "file_a").join(b, "file_b").select("file_a", "file_b", "together", (F.col("together") / F.least("na", "nb")).alias("coupling"))
+
+
+def enclosing_functions(points: DataFrame, functions: DataFrame, bucket_lines: int = 64) -> DataFrame:
+    """points (file, line, ..) with the id of the innermost function (file, start_line, end_line, id) around each line.
+
+    A range join made equal: a function stands in every bucket of lines that it touches, so points only
+    meet functions of their file and bucket. Innermost is the latest start, then the earliest end.
+    """
+    lines = F.sequence(F.floor(F.col("start_line") / bucket_lines), F.floor(F.col("end_line") / bucket_lines))
+    spans = functions.where("start_line <= end_line").select("file", "start_line", "end_line", "id", F.explode(lines).alias("_b"))
+    keyed = points.withColumn("_b", F.floor(F.col("line") / bucket_lines))
+    inside = keyed.join(spans, ["file", "_b"], "left").where("start_line IS NULL OR (start_line <= line AND line <= end_line)")
+    best = inside.groupBy(*points.columns).agg(F.max_by("id", F.struct("start_line", -F.col("end_line"), "id")).alias("id"))
+    return points.distinct().join(best.where("id IS NOT NULL"), points.columns, "left")
+
+
+def top_modules(modules: DataFrame, by: str = "function_count", n: int = 10) -> DataFrame:
+    """The n modules with the highest value of a column."""
+    return modules.orderBy(F.col(by).desc(), "module").limit(n)
+
+
+def crate_modules(functions: DataFrame, file_lines: DataFrame) -> DataFrame:
+    """(module, function_count, lines_of_code): lines are the greater of the functions' and the files' sum, as a file holds more than functions.
+
+    functions: module, lines_of_code. file_lines: module, lines.
+    """
+    f = functions.groupBy("module").agg(F.count(F.lit(1)).alias("function_count"), F.sum("lines_of_code").alias("_f"))
+    files = file_lines.groupBy("module").agg(F.sum("lines").alias("_l"))
+    return f.join(files, "module", "full_outer").select("module", F.coalesce("function_count", F.lit(0)).alias("function_count"), F.greatest(F.coalesce("_f", F.lit(0)), F.coalesce("_l", F.lit(0))).alias("lines_of_code"))

@@ -53,7 +53,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for path, kind, content in zip(b["path"], b["package_type"], b["content"], strict=True):
-            row = {"path": path, "package_type": kind, "backwards_compat": True, "maintainers": None, "error": None}
+            row = dict.fromkeys(("id", "name", "slug", "version", "category", "status", "parent_id", "maintainers", "error")) | {"path": path, "package_type": kind, "backwards_compat": True}
             try:
                 doc = tomllib.loads(content or "")
                 own = doc[kind]
@@ -65,7 +65,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except (tomllib.TOMLDecodeError, KeyError, TypeError, AttributeError) as e:
                 row["error"] = f"{type(e).__name__}: {e}"
             rows.append(row)
-        yield pd.DataFrame(rows, columns=["path", "package_type", "id", "name", "slug", "version", "category", "status", "parent_id", "backwards_compat", "maintainers", "error"])
+        yield pd.DataFrame(rows, dtype=object, columns=["path", "package_type", "id", "name", "slug", "version", "category", "status", "parent_id", "backwards_compat", "maintainers", "error"])
 
 
 def metadata(tree: DataFrame, packages: DataFrame) -> DataFrame:

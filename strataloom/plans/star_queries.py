@@ -372,7 +372,30 @@ def c05(spark, where):
     return read(spark, where, "code_functions").select("record_id", X.slice_id("module").alias("slice"), X.slice_view("module", {"platform_sdk": 2}).alias("view_slice"), X.language_of("id").alias("prefix"), X.short_name("module").alias("short"))
 
 
+def c06(spark, where):
+    f = read(spark, where, "code_functions").where("start_line <= end_line").select(F.concat_ws("|", "repo", F.col("snapshot_no").cast("string"), "file").alias("file"), "start_line", "end_line", F.col("record_id").alias("id"))
+    points = f.select("file", F.col("start_line").alias("line")).distinct()
+    return metrics.enclosing_functions(points, f)
+
+
+def c07(spark, where):
+    m = read(spark, where, "code_modules")
+    return m.select("record_id", X.stability_band("metrics.martin.instability", "metrics.martin.distance_from_main_sequence").alias("band"), X.health_label(X.health("metrics.function_count", "metrics.total_cyclomatic", "metrics.total_cognitive", "metrics.lines_of_code", F.col("metrics.martin.ca") + F.col("metrics.martin.ce"))).alias("label"))
+
+
+def c08(spark, where):
+    e = coupling.percentile_normalise(_weights(spark, where), "weight")
+    return coupling.strongest_pairs(e).select("src", "dst", _r("value"))
+
+
+def c09(spark, where):
+    s = read(spark, where, "snapshots")
+    h = s.select("repo", "snapshot_no", "seq", F.explode("hotspots").alias("h")).select("repo", "snapshot_no", "seq", "h.*").where("cyclomatic IS NOT NULL")
+    return metrics.top_per_group(h, ["repo", "snapshot_no", "seq"], "cyclomatic", ["id"], 3).select("repo", "snapshot_no", "seq", "id", "cyclomatic", "rank").distinct()
+
+
 QUERIES = {
+    "c06_enclosing_functions": c06, "c07_module_bands": c07, "c08_strongest_pairs": c08, "c09_snapshot_hotspots": c09,
     "q01_function_metrics": q01, "q02_module_metrics": q02, "q03_halstead_documents": q03, "q04_line_counts": q04, "q04_line_state_fold": q04b, "q05_dependency_edges": q05, "q06_coupling_percentile": q06, "q07_composite_coupling": q07, "q08_martin": q08, "q09_slice_independence": q09, "q10_health": q10,
     "q11_layer_detect": q11, "q12_import_kind_score": q12, "q13_theta_resolve": q13, "q14_threshold_rules": q14, "q14_rule_results": q14b, "q14_rule_summary": q14c, "q15_exceptions_stale": q15, "q16_snapshot_diff": q16, "q16_diff_status": q16b, "q17_entity_diff": q17, "q18_hotspots_topk": q18, "q18_hotspots": q18b, "q19_json_field": q19, "q20_marker_scan": q20,
     "q21_marker_summary": q21, "q22_matrix_validate": q22, "q22_matrix_mirror": q22b, "q23_slice_layer_pivot": q23, "q24_cluster_edges": q24, "q24_coupling_degree": q24b, "q25_neighbours": q25, "q25_strongest_partner": q25b, "q26_dedupe_first": q26, "q27_glob_exclude": q27, "q28_daily_snapshots": q28, "q29_reachable": q29, "q29_cycles": q29b, "q30_layout": q30, "q31_extract": q31,
@@ -470,6 +493,13 @@ SELECT CAST(day AS VARCHAR) AS day, events, total, events - lag(events) OVER (OR
 SELECT e.repo, e.snapshot_no, a.module AS src, b.module AS dst, count(*) AS edges, CAST(sum(call_count) AS BIGINT) AS calls FROM call_graph_edges e JOIN h a ON a.repo = e.repo AND a.snapshot_no = e.snapshot_no AND a.id = from_id JOIN h b ON b.repo = e.repo AND b.snapshot_no = e.snapshot_no AND b.id = to_id WHERE a.module <> b.module GROUP BY ALL""",
     "c03_call_counts": "SELECT repo, snapshot_no, from_id, to_id, CAST(sum(call_count) AS BIGINT) AS calls, count(*) AS edges FROM call_graph_edges GROUP BY ALL",
     "c04_file_metrics": "SELECT file, count(*) AS function_count, CAST(coalesce(sum(metrics.cyclomatic_complexity), 0) AS BIGINT) AS total_cyclomatic, round(avg(metrics.cyclomatic_complexity), 6) AS avg_cyclomatic, max(metrics.cyclomatic_complexity) AS max_cyclomatic, CAST(coalesce(sum(metrics.cognitive_complexity), 0) AS BIGINT) AS total_cognitive, max(metrics.cognitive_complexity) AS max_cognitive, CAST(coalesce(sum(metrics.lines_of_code), 0) AS BIGINT) AS lines_of_code, CAST(coalesce(sum(metrics.comment_lines), 0) AS BIGINT) AS comment_lines FROM code_functions GROUP BY file",
+    "c06_enclosing_functions": """WITH f AS (SELECT repo || '|' || snapshot_no || '|' || file AS file, start_line, end_line, record_id AS id FROM code_functions WHERE start_line <= end_line), p AS (SELECT DISTINCT file, start_line AS line FROM f)
+SELECT p.file, p.line, max_by(id, row(start_line, -end_line, id)) AS id FROM p JOIN f ON p.file = f.file AND start_line <= line AND line <= end_line GROUP BY 1, 2""",
+    "c07_module_bands": """WITH m AS (SELECT record_id, metrics.martin.instability AS i, metrics.martin.distance_from_main_sequence AS d, metrics.function_count AS f, metrics.total_cyclomatic AS cc, metrics.total_cognitive AS cog, metrics.lines_of_code AS loc, metrics.martin.ca + metrics.martin.ce AS k, greatest(metrics.function_count, 1) AS n FROM code_modules),
+h AS (SELECT *, (CASE WHEN cc / n > 5 THEN greatest(0, 1 - (cc / n - 5) / 15) ELSE 1 END + greatest(0, 1 - cog / n / 30) + CASE WHEN loc / n > 50 THEN greatest(0, 1 - (loc / n - 50) / 100) ELSE 1 END + CASE WHEN k = 0 THEN 0.6 WHEN k > 20 THEN greatest(0.2, 1 - (k - 10) / 30) ELSE 1 END + CASE WHEN f < 2 THEN 0.5 WHEN f > 50 THEN greatest(0.3, 1 - (f - 30) / 70) ELSE 1 END) / 5.0 AS s FROM m)
+SELECT record_id, CASE WHEN d > 0.5 THEN 'zone_of_pain' WHEN i < 0.3 THEN 'stable' WHEN i > 0.7 THEN 'unstable' ELSE 'balanced' END AS band, CASE WHEN s >= 0.8 THEN 'Excellent' WHEN s >= 0.65 THEN 'Good' WHEN s >= 0.5 THEN 'OK' WHEN s >= 0.35 THEN 'Warning' WHEN s >= 0.2 THEN 'Poor' ELSE 'Critical' END AS label FROM h""",
+    "c08_strongest_pairs": f"WITH {_TRADE} SELECT src, dst, round(value, 6) AS value FROM pr WHERE value >= 0.5 AND src < dst ORDER BY value DESC, src, dst LIMIT 5",
+    "c09_snapshot_hotspots": "SELECT DISTINCT repo, snapshot_no, seq, id, cyclomatic, rank FROM (SELECT repo, snapshot_no, seq, h.id AS id, h.cyclomatic AS cyclomatic, row_number() OVER (PARTITION BY repo, snapshot_no, seq ORDER BY h.cyclomatic DESC, h.id) AS rank FROM (SELECT repo, snapshot_no, seq, unnest(hotspots) AS h FROM snapshots) WHERE h.cyclomatic IS NOT NULL) WHERE rank <= 3",
     "c05_slices": """SELECT record_id, CASE WHEN contains(module, '/') THEN array_to_string(string_split(module, '/')[1:2], '/') WHEN contains(module, '::') THEN array_to_string(string_split(module, '::')[1:2], '::') ELSE array_to_string(string_split(module, '.')[1:2], '.') END AS slice,
   CASE WHEN contains(module, '::') THEN CASE WHEN split_part(module, '::', 1) = 'platform_sdk' AND len(string_split(module, '::')) >= 2 THEN split_part(module, '::', 2) ELSE array_to_string(string_split(module, '::')[1:2], '::') END WHEN contains(module, '/') THEN array_to_string(string_split(module, '/')[1:2], '/') ELSE array_to_string(string_split(module, '.')[1:2], '.') END AS view_slice, split_part(id, ':', 1) AS prefix, string_split(module, '::')[-1] AS short FROM code_functions""",
 }

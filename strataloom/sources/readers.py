@@ -210,3 +210,11 @@ def package_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, is_dir, content) of a repository; contents of metadata and Rust sources only."""
     files = all_files(spark, root)
     return files.select(F.col("file").alias("path"), F.lit(False).alias("is_dir"), F.when(F.col("file").rlike(r"\.(toml|rs)$"), F.col("content")).alias("content"))
+
+
+def diff_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(status, avg_cyclomatic_delta, errors, warnings) of diff files, read leniently: what is missing is 0 or null."""
+    doc = json_documents(spark, path)
+    severities = F.try_variant_get("doc", "$.violations", "array<struct<severity:string>>")
+    n = lambda s: F.coalesce(F.size(F.filter(severities, lambda v: v["severity"] == s)), F.lit(0))
+    return doc.select("source", F.try_variant_get("doc", "$.status", "string").alias("status"), F.coalesce(X.number_at(F.col("doc"), "metrics.avg_cyclomatic.delta"), F.lit(0.0)).alias("avg_cyclomatic_delta"), n("ERROR").alias("errors"), n("WARNING").alias("warnings"))
