@@ -126,12 +126,12 @@ def renames(raw: DataFrame, steps: DataFrame) -> DataFrame:
     return votes.where("2 * equal > both").select("repo", "artifact", F.col("step_no").alias("file_no"), "field_path", "new_path")
 
 
-def schema_changes(raw: DataFrame) -> DataFrame:
+def schema_changes(raw: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """(repo, artifact, file_no, change, field_path, new_path): the steps of every series of files.
 
-    raw has repo, artifact, file_no and payload.
+    raw has repo, artifact, file_no and payload. schemas: its file_schemas, if they are known.
     """
-    steps = materialize(_candidates(file_schemas(raw)), "drift-steps")
+    steps = materialize(_candidates(file_schemas(raw) if schemas is None else schemas), "drift-steps")
     moved = renames(raw, steps).groupBy(*FILE).agg(F.collect_set(F.struct("field_path", "new_path")).alias("moved"))
     joined = steps.join(moved, FILE, "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<struct<field_path:string,new_path:string>>")))
     row = lambda change, path, new: F.struct(F.lit(change).alias("change"), path.alias("field_path"), new.alias("new_path"))
@@ -186,11 +186,28 @@ def migration_routes(schemas: DataFrame, changes: DataFrame, target: list[str])
     return files.groupBy("repo", "artifact").applyInPandas(chain, f"{_FILE_SCHEMA}, version bigint, fingerprint string, routes map<string,string>")
 
 
-def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keep = b.drop(columns=["payload"])
-        keep["have"] = [{p: v for p, (_, v) in fields_of(x).items()} for x in b["payload"]]
-        yield keep
+def _router(targets: set[str]):
+    """Routes each record's fields: known ones by target, the rest by its own name, and the renames used."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known, rest, renamed = [], [], []
+            for routes, payload in zip(b["routes"], b["payload"], strict=True):
+                routes = dict(routes) if routes is not None else {}
+                mine: dict[str, str] = {}
+                other: dict[str, str] = {}
+                moves = []
+                for path, (_, value) in sorted(fields_of(payload).items()):
+                    to = routes.get(path, path)
+                    (mine if to in targets else other).setdefault(to, value)
+                    if to != path:
+                        moves.append(f"rename {path} -> {to}")
+                known.append(mine)
+                rest.append(other)
+                renamed.append(moves)
+            yield b.drop(columns=["payload", "routes"]).assign(have=known, rest=rest, renamed=renamed)
+
+    return run
 
 
 def _cast(value: Column, kind: str) -> tuple[Column, Column]:
@@ -207,10 +224,6 @@ def _cast(value: Column, kind: str) -> tuple[Column, Column]:
     return text.try_cast(kind), (bare != value) | bare.startswith('"')
 
 
-def _routed_to(path: Column) -> Column:
-    return F.transform(F.filter("_e", lambda e: e["to"] == path), lambda e: e["value"])
-
-
 def unified(raw: DataFrame, artifact: str, target: dict[str, str], defaults: dict[str, object] | None = None, schemas: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
     """One consistent table of an artifact: record_id, repo, file_no, version, the target fields, rest, applied.
 
@@ -219,22 +232,20 @@ def unified(raw: DataFrame, artifact: str, target: dict[str, str], defaults: dic
     rename, cast and default rules this record went through.
     """
     mine = raw.where(F.col("artifact") == artifact)
-    schemas = file_schemas(mine) if schemas is None else schemas
-    changes = schema_changes(mine) if changes is None else changes
+    schemas = materialize(file_schemas(mine), "drift-schemas") if schemas is None else schemas
+    changes = schema_changes(mine, schemas) if changes is None else changes
     routes = materialize(migration_routes(schemas, changes, list(target)), "drift-routes")
     rows = checked_join(mine.select("record_id", *FILE, "payload"), routes, FILE, "left", ["record_id"])
-    flat = rows.select("record_id", "repo", "artifact", "file_no", "version", "routes", "payload").mapInPandas(_flatten, f"record_id bigint, {_FILE_SCHEMA}, version bigint, routes map<string,string>, have map<string,string>")
-    routed = F.transform(F.map_entries("have"), lambda e: F.struct(F.coalesce(F.element_at("routes", e["key"]), e["key"]).alias("to"), e["value"].alias("value"), e["key"].alias("key")))
-    flat = flat.withColumn("_e", F.array_sort(routed)).withColumn("_renamed", F.transform(F.filter("_e", lambda e: e["to"] != e["key"]), lambda e: F.concat(F.lit("rename "), e["key"], F.lit(" -> "), e["to"])))
-    columns, rules = [], [F.col("_renamed")]
+    out_schema = f"record_id bigint, {_FILE_SCHEMA}, version bigint, have map<string,string>, rest map<string,string>, renamed array<string>"
+    flat = rows.select("record_id", *FILE, "version", "routes", "payload").mapInPandas(_router(set(target)), out_schema)
+    columns, rules = [], [F.col("renamed")]
     for path, kind in target.items():
-        value = F.try_element_at(_routed_to(F.lit(path)), F.lit(1))
+        value = F.try_element_at("have", F.lit(path))
         out, was_cast = _cast(value, kind)
         rules.append(F.when(value.isNotNull() & was_cast, F.array(F.lit(f"cast {path} to {kind}"))))
         if defaults and path in defaults:
             rules.append(F.when(value.isNull(), F.array(F.lit(f"default {path}"))))
             out = F.coalesce(out, F.lit(defaults[path]).cast(kind))
         columns.append(out.alias(path.replace(".", "_")))
-    rest = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.filter("_e", lambda e: ~e["to"].isin(list(target))), lambda e: e["to"])), lambda t: F.struct(t.alias("key"), F.element_at(_routed_to(t), 1).alias("value"))))
     none = F.array().cast("array<string>")
-    return flat.select("record_id", "repo", "file_no", "version", *columns, rest.alias("rest"), F.concat(*[F.coalesce(r, none) for r in rules]).alias("applied"))
+    return flat.select("record_id", "repo", "file_no", "version", *columns, "rest", F.concat(*[F.coalesce(r, none) for r in rules]).alias("applied"))

@@ -4,7 +4,7 @@ Every row stands once as the later and once as the earlier side of a comparison;
 by comparison and key picks the current row of each side (highest order value) and classifies the
 key by the two row hashes. Only the list of periods of each scope is joined in, never the data.
 
-Defined cases: null ids are left out; a null compared column equals only null; of repeated rows the
+Defined cases: null ids and null scopes are left out; a null compared column equals only null; of repeated rows the
 one with the highest order value counts; a scope with one period has no comparison; empty tables
 give no rows; an id may stand in several scopes; columns beyond those named are ignored.
 """
