@@ -16,6 +16,8 @@ those named are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,19 +90,46 @@ def read_quantile(node: np.ndarray, count: np.ndarray, probs: list[float]) -> tu
     return right[order][np.searchsorted(total, rank)], int(total[-1])
 
 
-def _schema(df: DataFrame, group: list[str]) -> str:
-    return ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
+def _by_group(df: DataFrame, keys: list[str], run: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], out: dict[str, str]) -> DataFrame:
+    """(keys.., out..) of run(nodes, counts) per group.
+
+    Groups arrive sorted, many in a batch, so that small groups cost no call each. Keys travel as text.
+    """
+    types = {k: df.schema[k].dataType for k in keys}
+    marked = df.select(F.to_json(F.struct(*keys)).alias("_g"), *[F.col(k).cast("string").alias(k) for k in keys], "node", "node_count")
+    names = [*keys, *out]
+
+    def groups(b: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        node, count = b["node"].to_numpy(np.int64), b["node_count"].to_numpy(np.int64)
+        made = [run(node[i:j], count[i:j]) for i, j in zip(starts, [*starts[1:], len(b)], strict=True)]
+        rows = np.repeat(starts, [len(m[next(iter(out))]) for m in made])
+        columns = {k: b[k].to_numpy()[rows] for k in keys} | {c: np.concatenate([m[c] for m in made]) for c in out}
+        return pd.DataFrame(columns, columns=names)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in frames:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(b):
+                continue
+            g = b["_g"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
+            held = b.iloc[starts[-1] :].reset_index(drop=True)
+            if len(starts) > 1:
+                yield groups(b.iloc[: starts[-1]], starts[:-1])
+        if held is not None and len(held):
+            yield groups(held, np.array([0]))
+
+    ready = marked.repartition("_g").sortWithinPartitions("_g")
+    done = ready.mapInPandas(batches, ", ".join([*(f"`{k}` string" for k in keys), *(f"{c} {t}" for c, t in out.items())]))
+    return done.select(*[F.col(k).cast(types[k]).alias(k) for k in keys], *out)
 
 
 def _compressed(nodes: DataFrame, group: list[str], k: int) -> DataFrame:
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        node, count = compress(rows["node"].to_numpy(np.int64), rows["node_count"].to_numpy(np.int64), k)
-        out = rows[group].iloc[:1].reset_index(drop=True)
-        out = out.loc[out.index.repeat(len(node))].reset_index(drop=True)
-        out["node"], out["node_count"] = node, count
-        return out
+    def one(node: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+        return dict(zip(("node", "node_count"), compress(node, count, k), strict=True))
 
-    return nodes.groupBy(*group).applyInPandas(one, f"{_schema(nodes, group)}, node bigint, node_count bigint")
+    return _by_group(nodes, group, one, {"node": "bigint", "node_count": "bigint"})
 
 
 def _k(error: float) -> int:
@@ -129,12 +158,9 @@ def percentiles(parts: DataFrame, group: list[str], probs: list[float], error: f
     """
     keys = [*group, "measure"]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        code, n = read_quantile(rows["node"].to_numpy(np.int64), rows["node_count"].to_numpy(np.int64), probs)
+    def one(node: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+        code, n = read_quantile(node, count, probs)
         low, high = values_of(code)
-        out = rows[keys].iloc[:1].reset_index(drop=True)
-        out = out.loc[out.index.repeat(len(probs))].reset_index(drop=True)
-        out["p"], out["value"], out["value_low"], out["n"], out["max_rank_error"] = probs, high, low, n, int(error * n)
-        return out
+        return {"p": np.array(probs, float), "value": high, "value_low": low, "n": np.full(len(probs), n), "max_rank_error": np.full(len(probs), int(error * n))}
 
-    return parts.groupBy(*keys).applyInPandas(one, f"{_schema(parts, keys)}, p double, value bigint, value_low bigint, n bigint, max_rank_error bigint")
+    return _by_group(parts, keys, one, {"p": "double", "value": "bigint", "value_low": "bigint", "n": "bigint", "max_rank_error": "bigint"})
