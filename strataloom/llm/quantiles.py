@@ -32,7 +32,7 @@ def code_of(value: Column, scale: int = 1) -> Column:
     """The universe code of a numeric column; scale: steps per unit for values that are not integers."""
     top = float(1 << 62)
     d = F.nullif(value.cast("double"), F.lit(float("nan"))) * scale
-    x = F.when(d.isNotNull(), F.greatest(F.lit(-top), F.least(F.lit(top), F.round(d))).cast("bigint"))
+    x = F.when(d.isNotNull(), F.greatest(F.lit(-top), F.least(F.lit(top), F.rint(d))).cast("bigint"))
     size = F.when(x >= 0, x).otherwise(-(x + 1))
     shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int") - _EXACT)
     code = shift * (1 << _EXACT) + F.call_function("shiftright", size, shift)
