@@ -138,8 +138,10 @@ def _k(error: float) -> int:
 
 def digests(df: DataFrame, group: list[str], measures: dict[str, Column | str], error: float = 0.005, scale: int = 1) -> DataFrame:
     """(group.., measure, node, node_count): a digest per group and measure, in long form."""
-    values = F.array(*[F.struct(F.lit(name).alias("measure"), code_of(F.expr(c) if isinstance(c, str) else c, scale).alias("code")) for name, c in measures.items()])
-    long = df.select(*group, F.explode(values).alias("_v")).select(*group, "_v.*").where("code IS NOT NULL")
+    # the codes are computed after the explode, where they are part of the generated code
+    values = F.array(*[F.struct(F.lit(name).alias("measure"), (F.expr(c) if isinstance(c, str) else c).cast("double").alias("_x")) for name, c in measures.items()])
+    long = df.select(*group, F.explode(values).alias("_v")).select(*group, "_v.measure", F.col("_v._x").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
+    long = long.select(*group, "measure", code_of(F.col("_x"), scale).alias("code"))
     leaves = long.groupBy(*group, "measure", "code").agg(F.count(F.lit(1)).alias("node_count"))
     leaves = leaves.select(*group, "measure", (F.col("code") + (1 << LEVELS)).cast("bigint").alias("node"), "node_count")
     return _compressed(leaves, [*group, "measure"], _k(error))
