@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import coupling, diff, graph, markers, metrics, projectors, rules, slices
 from ..operators.extract import extract_sources
-from ..runtime import read
+from ..runtime import materialize, read
 
 # ---- building blocks -------------------------------------------------------------------------------
 
@@ -116,7 +116,7 @@ def q06(spark, where):
 
 def _composite(spark, where):
     t = _trade(spark, where)
-    agg = _named(t.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_partkey").alias("p"), F.sum("l_quantity").alias("q")), spark, where)
+    agg = materialize(_named(t.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_partkey").alias("p"), F.sum("l_quantity").alias("q")), spark, where), "trade")
     parts = {"import": agg.select("src", "dst", F.col("n").alias("value")), "call": agg.select("src", "dst", F.col("p").alias("value")), "type": agg.select("src", "dst", F.col("q").alias("value"))}
     return coupling.composite(parts)
 
