@@ -53,8 +53,11 @@ _ES_STREET = r"(?:calle|avenida|avda\.?|plaza|paseo|camino|ronda|carrera|traves
 _SPANISH = re.compile(rf"(?i)(?<!\w){_ES_STREET} (?:(?:de las|de los|de la|del|de) )?{_W}(?: {_W}){{0,3}}?,? (?:(?:n\.?\s?º|nº|núm\.?|no\.) ?)?\d{{1,4}} ?[a-z]?(?!\w)")
 _TOKEN = re.compile(_W)
 _PARTICLES = ("von der", "van der", "van den", "von", "van", "de la", "del", "de", "di", "da", "dos")
+_PARTICLE_WORDS = {w for p in _PARTICLES for w in (p.split()[0], p.split()[0].title(), p.split()[0].upper())}
+_GERMAN_WORDS = tuple(re.sub(r"\\", "", _DE_STREET)[3:-1].split("|"))
 _GAP = re.compile(r"^[ \t ]+$")
-_TABLE = str.maketrans("", "", "'’-")
+_DIGIT = re.compile(r"\d")
+_BLANK_ZERO = re.compile(" 0")
 
 
 def fold(word: str) -> str:
@@ -232,6 +235,8 @@ def _names(text: str, stats: NameStats) -> list[tuple[int, int, list[float]]]:
 
     def particle(k: int) -> int:
         """How many tokens from k are a particle before a family name."""
+        if tokens[k][2] not in _PARTICLE_WORDS:
+            return 0
         if k + 2 < n and plain(gap(k)) and tokens[k][2].lower() + " " + tokens[k + 1][2].lower() in _PARTICLES:
             return 2
         return int(tokens[k][2].lower() in _PARTICLES) if k + 1 < n else 0
@@ -305,7 +310,9 @@ def candidates(text: str, stats: NameStats) -> dict[str, list[tuple[int, int, li
             # the next may begin at a later word of this one
             rest = re.search(r"\s", s)
             at = m.start() + rest.end() if rest else m.end()
-    if any(c.isdigit() for c in text):
+    if _DIGIT.search(text):
+        # every digit as 0, and no blank before it: a street word before a number is then one substring
+        tight = _BLANK_ZERO.sub("0", _DIGIT.sub("0", text.lower()))
         spans = {}
         for pattern in (_DIGITS, _PHONES):
             for m in pattern.finditer(text):
@@ -315,6 +322,8 @@ def candidates(text: str, stats: NameStats) -> dict[str, list[tuple[int, int, li
         found["phone"] = [(a, b, _number_features(text, a, b)) for a, b in spans]
         found["id_number"] = [(m.start(), m.end(), _number_features(text, m.start(), m.end())) for m in _IDS.finditer(text)]
         for form, pattern in enumerate((_ENGLISH, _GERMAN, _FRENCH, _SPANISH)):
+            if form == 1 and not any(w + "0" in tight for w in _GERMAN_WORDS):
+                continue
             for m in pattern.finditer(text):
                 a, b = m.start(), m.end()
                 if form == 2:  # words after the street name may belong to the sentence
