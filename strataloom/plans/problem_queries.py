@@ -66,6 +66,20 @@ def p2_module_totals(spark: SparkSession, where: str) -> DataFrame:
     return salted_aggregate(read(spark, where, "code_functions"), "module", measures, ["record_id"])
 
 
+_HALSTEAD = ["vocabulary", "length", "volume", "difficulty", "effort", "time_to_implement", "estimated_bugs"]
+#: every metric of a function: path below metrics -> type of its sum
+_ALL_METRICS = {m: "BIGINT" for m in [*_TOTALS, "logical_lines", "comment_lines", "parameter_count"]} | {f"halstead.{m}": "BIGINT" if m in ("vocabulary", "length") else "DOUBLE" for m in _HALSTEAD}
+
+
+def p2_module_metrics(spark: SparkSession, where: str) -> DataFrame:
+    """Per table and module: row count, and totals and maxima of every metric; call graph nodes carry no metrics, theirs are null."""
+    rows = {"n_rows": ("count", F.lit(1))}
+    measures = rows | {f"{f}_{m.replace('.', '_')}": (f, F.col(f"metrics.{m}")) for m in _ALL_METRICS for f in ("sum", "max")}
+    each = [salted_aggregate(read(spark, where, t), "module", m, ["record_id"]).withColumn("table_name", F.lit(t)) for t, m in (("code_functions", measures), ("call_graph_nodes", rows))]
+    out = each[0].unionByName(each[1], allowMissingColumns=True)
+    return out.select("table_name", *[c for c in out.columns if c != "table_name"])
+
+
 def p3_found(spark: SparkSession, where: str) -> DataFrame:
     return schema_drift.schema_changes(read(spark, where, "raw_artifacts"))
 
@@ -92,6 +106,7 @@ QUERIES = {
     "p1_counts": p1_counts,
     "p2_found": p2_found,
     "p2_module_totals": p2_module_totals,
+    "p2_module_metrics": p2_module_metrics,
     "p3_found": p3_found,
     "p3_functions": _p3_unified("functions"),
     "p3_modules": _p3_unified("modules"),
@@ -120,6 +135,7 @@ SQL = {
     "p1_counts": _P1 + "SELECT table_name, field_name, snapshot_no, count(*) AS orphan_rows, count(DISTINCT (repo, k)) AS orphan_keys FROM orphans GROUP BY ALL",
     "p2_found": " UNION ALL ".join(f"SELECT '{t}' AS table_name, module FROM {t} WHERE module IS NOT NULL GROUP BY module HAVING count(*) * 100 >= 4 * (SELECT count(*) FROM {t})" for t in ("code_functions", "call_graph_nodes")),
     "p2_module_totals": "SELECT module, count(*) AS n_rows, " + ", ".join(f"CAST({f}(metrics.{m}) AS BIGINT) AS {f}_{m}" for m in _TOTALS for f in ("sum", "max")) + " FROM code_functions GROUP BY module",
+    "p2_module_metrics": "SELECT 'code_functions' AS table_name, module, count(*) AS n_rows, " + ", ".join(f"CAST({f}(metrics.{m}) AS {t}) AS {f}_{m.replace('.', '_')}" for m, t in _ALL_METRICS.items() for f in ("sum", "max")) + " FROM code_functions GROUP BY module UNION ALL BY NAME SELECT 'call_graph_nodes' AS table_name, module, count(*) AS n_rows FROM call_graph_nodes GROUP BY module",
     "p5_found": """
 WITH f AS (SELECT repo, snapshot_no, id, arg_max(struct_pack(v := metrics.cyclomatic_complexity), seq).v AS v FROM code_functions WHERE id IS NOT NULL GROUP BY ALL),
 sn AS (SELECT repo, snapshot_no, arg_max(hotspots, seq) AS hotspots FROM snapshots GROUP BY ALL),

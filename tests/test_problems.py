@@ -8,6 +8,7 @@ from strataloom.operators import schema_drift
 from strataloom.operators.references import Reference, orphan_counts, orphan_rows
 from strataloom.operators.skew import heavy_keys, outsize_keys, salted_aggregate
 from strataloom.operators.snapshots import current_rows, snapshot_changes
+from strataloom.plans import problem_queries
 from strataloom.runtime import checked_join, estimated_bytes
 
 from .conftest import rows
@@ -61,6 +62,25 @@ def test_outsize_keys_count_nulls_in_the_total(spark):
     assert outsize_keys(df.where("k IS NULL"), "k", 4).count() == 0
 
 
+def test_module_metrics_hold_both_tables_and_every_metric(spark, tmp_path):
+    whole = [f"metrics.{m}" for m in ("cyclomatic_complexity", "cognitive_complexity", "lines_of_code", "logical_lines", "comment_lines", "parameter_count")] + [f"metrics.halstead.{m}" for m in ("vocabulary", "length")]
+    real = [f"metrics.halstead.{m}" for m in ("volume", "difficulty", "effort", "time_to_implement", "estimated_bugs")]
+    halstead = "halstead struct<vocabulary bigint, length bigint, volume double, difficulty double, effort double, time_to_implement double, estimated_bugs double>"
+    schema = f"record_id bigint, module string, metrics struct<cyclomatic_complexity bigint, cognitive_complexity bigint, {halstead}, lines_of_code bigint, logical_lines bigint, comment_lines bigint, parameter_count bigint>"
+    data = [(1, "m", (1, 2, (7, 8, 9.5, 10.5, 11.5, 12.5, 13.5), 3, 4, 5, 6)), (2, "m", (10, 20, None, 30, 40, 50, 60)), (3, None, (1, 1, None, 1, 1, 1, 1))]
+    spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/code_functions.parquet")
+    spark.createDataFrame([(1, "m"), (2, "only"), (3, "only"), (4, None)], "record_id bigint, module string").write.parquet(f"{tmp_path}/call_graph_nodes.parquet")
+    out = problem_queries.p2_module_metrics(spark, str(tmp_path))
+    got = {(r["table_name"], r["module"]): r.asDict() for r in out.collect()}
+    name = lambda f, c: f"{f}_{c.removeprefix('metrics.').replace('.', '_')}"
+    assert set(out.columns) == {"table_name", "module", "n_rows"} | {name(f, c) for c in whole + real for f in ("sum", "max")}
+    assert {k: v["n_rows"] for k, v in got.items()} == {("code_functions", "m"): 2, ("code_functions", None): 1, ("call_graph_nodes", "m"): 1, ("call_graph_nodes", "only"): 2, ("call_graph_nodes", None): 1}
+    m = got[("code_functions", "m")]
+    assert [m[name("sum", c)] for c in whole + real] == [11, 22, 33, 44, 55, 66, 7, 8, 9.5, 10.5, 11.5, 12.5, 13.5]
+    assert [m[name("max", c)] for c in whole + real] == [10, 20, 30, 40, 50, 60, 7, 8, 9.5, 10.5, 11.5, 12.5, 13.5]
+    assert all(v is None for c, v in got[("call_graph_nodes", "only")].items() if c.startswith(("sum_", "max_")))
+
+
 @pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_snapshot_changes(spark, limit):
     data = [
