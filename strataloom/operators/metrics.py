@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..runtime import checked_join
 
 # ---- fixed values: node kinds by language ----
 DECISION = {
@@ -134,15 +135,18 @@ def top_per_group(df: DataFrame, group: list[str], by: str, ties: list[str], n:
 def change_coupling(commit_files: DataFrame, most_files: int = 100) -> DataFrame:
     """(file_a, file_b, together, coupling): commits in common over the lesser number of commits of the two.
 
-    commit_files: commit, file. Commits that touch more than most_files files say nothing about pairs
-    and are left out of both counts, as a pair count grows with the square of their files.
+    commit_files: commit, file; rows with a null in either count for nothing. The files of a commit are
+    cut into blocks of about most_files, and each two blocks are paired in a row of their own, so that
+    a commit of any size is counted whole without a task that holds all its pairs.
     """
-    distinct = commit_files.select("commit", "file").distinct()
-    small = distinct.groupBy("commit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_files).select("commit")
-    kept = distinct.join(small, "commit", "left_semi")
-    each = kept.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    grouped = kept.groupBy("commit").agg(F.array_sort(F.collect_list("file")).alias("files"))
-    pairs = grouped.select(F.posexplode("files").alias("i", "file_a"), "files").select("file_a", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("file_b"))
+    distinct = commit_files.select("commit", "file").where("commit IS NOT NULL AND file IS NOT NULL").distinct()
+    each = distinct.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    sizes = distinct.groupBy("commit").agg(F.ceil(F.count(F.lit(1)) / most_files).alias("blocks"))
+    blocks = checked_join(distinct, sizes, ["commit"], spread_by=["file"]).withColumn("block", F.pmod(F.xxhash64("file"), "blocks")).groupBy("commit", "blocks", "block").agg(F.collect_list("file").alias("files"))
+    sides = blocks.select("commit", "block", "files", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")).select("commit", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "files")
+    side = lambda c: F.first(F.when(F.col("block") == F.col(c), F.col("files")), ignorenulls=True)
+    meet = sides.groupBy("commit", "lo", "hi").agg(side("lo").alias("left"), side("hi").alias("right"))
+    pairs = meet.select("lo", "hi", F.explode("left").alias("x"), "right").select("lo", "hi", "x", F.explode("right").alias("y")).where("lo < hi OR x < y").select(F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b"))
     together = pairs.groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("together"))
     a, b = each.select(F.col("file").alias("file_a"), F.col("n").alias("na")), each.select(F.col("file").alias("file_b"), F.col("n").alias("nb"))
     return together.join(a, "file_a").join(b, "file_b").select("file_a", "file_b", "together", (F.col("together") / F.least("na", "nb")).alias("coupling"))

@@ -1,6 +1,8 @@
+import itertools
 import json
 import math
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +106,18 @@ def test_module_and_file_metrics(spark):
     assert rows(metrics.change_coupling(c)) == [("a", "b", 2, 1.0)]
 
 
+def test_change_coupling_counts_large_commits(spark):
+    commits = {1: [f"f{i:03}" for i in range(250)], 2: ["f000", "f001", "g"], 3: ["g", "h"], 4: ["f001"], 5: ["f249", "g"]}
+    c = spark.createDataFrame([(k, f) for k, files in commits.items() for f in files] + [(1, "f000"), (None, "g"), (None, "h"), (3, None)], "commit bigint, file string")
+    n = Counter(f for files in commits.values() for f in files)
+    pairs = Counter(p for files in commits.values() for p in itertools.combinations(sorted(files), 2))
+    want = {(a, b): (k, k / min(n[a], n[b])) for (a, b), k in pairs.items()}
+    assert want[("f002", "f100")] == (1, 1.0) and want[("f249", "g")] == (1, 0.5)
+    for d in (metrics.change_coupling(c), metrics.change_coupling(c, 7), metrics.change_coupling(c, 1000)):
+        got = d.collect()
+        assert len(got) == len(want) and {(r["file_a"], r["file_b"]): (r["together"], r["coupling"]) for r in got} == want
+
+
 def test_resolving_imports_calls_and_types(spark):
     mods = spark.createDataFrame([("crate::model",), ("crate::api",), ("util",)], "module string")
     imports = spark.createDataFrame([("crate::api", "crate::model::Item", False), ("crate::model", "crate::model", False), ("util", "serde", True), ("crate::api", "super::util", False)], "from_module string, import_path string, is_external boolean")
