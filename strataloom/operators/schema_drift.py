@@ -210,26 +210,32 @@ def _router(targets: set[str]):
     return run
 
 
-def _cast(value: Column, kind: str) -> tuple[Column, Column]:
-    """The value of a JSON text as kind, and whether a cast was needed; a one-element array is its element."""
+def _cast(value: Column, kind: str) -> tuple[Column, Column, Column]:
+    """The value of a JSON text as kind, whether a cast was needed, and whether it changed the number; a one-element array is its element."""
     inner = F.regexp_extract(value, r"^\[([^,\[\]]*)\]$", 1)
     bare = F.when(inner != "", inner).otherwise(value)
     text = F.when(bare.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), bare, F.lit("}")), "$.v")).otherwise(bare)
     if kind.startswith("array"):
-        return F.from_json(value, kind), F.lit(False)
+        return F.from_json(value, kind), F.lit(False), F.lit(False)
     if kind == "string":
-        return text, (bare != value) | ~bare.startswith('"')
+        return text, (bare != value) | ~bare.startswith('"'), F.lit(False)
+    was_cast, whole = (bare != value) | bare.startswith('"'), text.try_cast("bigint")
     if kind == "bigint":
-        return F.coalesce(text.try_cast("bigint"), F.round(text.try_cast("double")).try_cast("bigint")), (bare != value) | bare.startswith('"')
-    return text.try_cast(kind), (bare != value) | bare.startswith('"')
+        out = F.coalesce(whole, F.round(text.try_cast("double")).try_cast("bigint"))
+        return out, was_cast, whole.isNull() & ~text.try_cast("decimal(38,18)").eqNullSafe(out.cast("decimal(38,18)"))
+    out = text.try_cast(kind)
+    if kind != "double":
+        return out, was_cast, F.lit(False)
+    return out, was_cast, text.rlike(r"^[+-]?\d{16,}$") & (whole.isNull() | ~out.try_cast("bigint").eqNullSafe(whole))
 
 
 def unified(raw: DataFrame, artifact: str, target: dict[str, str], defaults: dict[str, object] | None = None, schemas: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
     """One consistent table of an artifact: record_id, repo, file_no, version, the target fields, rest, applied.
 
-    target: dotted path -> Spark type; the column is the path with _ for dots. A field that no record
-    of a file holds takes its default, else null. rest: fields routed to no target. applied: the
-    rename, cast and default rules this record went through.
+    target: dotted path -> Spark type; the column is the path with _ for dots. A field without a value
+    that fits takes its default, else null. rest: JSON texts of the fields routed to no target, and,
+    by target path, of values that don't fit the type or were rounded. applied: the rename, cast,
+    cast failed, rounded and default rules this record went through.
     """
     mine = raw.where(F.col("artifact") == artifact)
     schemas = materialize(file_schemas(mine), "drift-schemas") if schemas is None else schemas
@@ -238,14 +244,20 @@ def unified(raw: DataFrame, artifact: str, target: dict[str, str], defaults: dic
     rows = checked_join(mine.select("record_id", *FILE, "payload"), routes, FILE, "left", ["record_id"])
     out_schema = f"record_id bigint, {_FILE_SCHEMA}, version bigint, have map<string,string>, rest map<string,string>, renamed array<string>"
     flat = rows.select("record_id", *FILE, "version", "routes", "payload").mapInPandas(_router(set(target)), out_schema)
-    columns, rules = [], [F.col("renamed")]
-    for path, kind in target.items():
-        value = F.try_element_at("have", F.lit(path))
-        out, was_cast = _cast(value, kind)
-        rules.append(F.when(value.isNotNull() & was_cast, F.array(F.lit(f"cast {path} to {kind}"))))
+    values, outs, states, columns, rules, odd = {}, {}, {}, [], [F.col("renamed")], []
+    for i, (path, kind) in enumerate(target.items()):
+        value = F.col(f"_value{i}")
+        values[f"_value{i}"] = F.try_element_at("have", F.lit(path))
+        outs[f"_out{i}"], was_cast, changed = _cast(value, kind)
+        state = F.when(value.isNotNull() & F.col(f"_out{i}").isNull(), "cast failed").when(changed, "rounded").when(was_cast, "cast")
+        states[f"_state{i}"] = state
+        out, state = F.col(f"_out{i}"), F.col(f"_state{i}")
+        rules.append(F.when(state.isNotNull(), F.array(F.concat(state, F.lit(f" {path} to {kind}")))))
+        odd.append(F.struct(F.lit(path).alias("key"), F.when(state.isin("cast failed", "rounded"), value).alias("value")))
         if defaults and path in defaults:
-            rules.append(F.when(value.isNull(), F.array(F.lit(f"default {path}"))))
+            rules.append(F.when(out.isNull(), F.array(F.lit(f"default {path}"))))
             out = F.coalesce(out, F.lit(defaults[path]).cast(kind))
         columns.append(out.alias(path.replace(".", "_")))
     none = F.array().cast("array<string>")
-    return flat.select("record_id", "repo", "file_no", "version", *columns, "rest", F.concat(*[F.coalesce(r, none) for r in rules]).alias("applied"))
+    rest = F.map_concat("rest", F.map_from_entries(F.filter(F.array(*odd), lambda x: x["value"].isNotNull())))
+    return flat.withColumns(values).withColumns(outs).withColumns(states).select("record_id", "repo", "file_no", "version", *columns, rest.alias("rest"), F.concat(*[F.coalesce(r, none) for r in rules]).alias("applied"))

@@ -179,6 +179,33 @@ def test_unified_table_follows_chained_renames(spark):
     assert "cast metrics.halstead.volume to double" in got[(4, "f2")]["applied"] and got[(4, "f0")]["version"] == 4
 
 
+def test_unified_table_keeps_what_does_not_fit(spark):
+    big = 2**53 + 1
+    docs = [
+        {"n": "n/a", "d": "-", "a": "rust"}, {"n": True, "d": [1, 2], "a": 7}, {"n": 2.5, "d": big, "a": ["x"]}, {"n": "3.5", "d": "1.5", "a": ["x", "y"]},
+        {"n": 4.0, "d": 2**53, "a": None}, {"n": "5", "d": 3, "a": []}, {"n": [6], "d": False, "a": ["z"]}, {"n": big, "d": [0.5], "a": [1]}, {"n": 10**30, "d": 10**30 + 1}, {},
+    ]
+    target = {"n": "bigint", "d": "double", "a": "array<string>"}
+    raw = _raw(spark, [(1, json.dumps({"id": str(i), "s": i} | doc)) for i, doc in enumerate(docs)])
+    got = {r["record_id"]: r for r in schema_drift.unified(raw, "functions", target, {"d": -1.0}).collect()}
+    want = [
+        (None, -1.0, None, {"n": '"n/a"', "d": '"-"', "a": '"rust"'}, ["cast failed n to bigint", "cast failed d to double", "default d", "cast failed a to array<string>"]),
+        (None, -1.0, None, {"n": "true", "d": "[1, 2]", "a": "7"}, ["cast failed n to bigint", "cast failed d to double", "default d", "cast failed a to array<string>"]),
+        (3, float(big), ["x"], {"n": "2.5", "d": str(big)}, ["rounded n to bigint", "rounded d to double"]),
+        (4, 1.5, ["x", "y"], {"n": '"3.5"'}, ["rounded n to bigint", "cast d to double"]),
+        (4, 2.0**53, None, {}, []),
+        (5, 3.0, [], {}, ["cast n to bigint"]),
+        (6, -1.0, ["z"], {"d": "false"}, ["cast n to bigint", "cast failed d to double", "default d"]),
+        (big, 0.5, ["1"], {}, ["cast d to double"]),
+        (None, 1e30, None, {"n": str(10**30), "d": str(10**30 + 1)}, ["cast failed n to bigint", "rounded d to double"]),
+        (None, -1.0, None, {}, ["default d"]),
+    ]
+    for i, (n, d, a, rest, applied) in enumerate(want):
+        r = got[i]
+        kept = {k: json.dumps(json.loads(v)) for k, v in r["rest"].items() if k not in ("s", "id")}
+        assert (r["n"], r["d"], r["a"], kept, r["applied"]) == (n, d, a, rest, applied), i
+
+
 def test_checked_join_gives_the_same_either_way(spark):
     big = spark.createDataFrame([(i, "h" if i % 2 else str(i % 5)) for i in range(200)], "i bigint, k string")
     small = spark.createDataFrame([("h", 1), ("2", 2)], "k string, v bigint")
