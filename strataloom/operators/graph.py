@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..runtime import materialize
+from ..runtime import checked_join, materialize
 
 #: Modules a layout may have: one task holds all pairs.
 MOST_NODES = 5000
@@ -49,22 +49,21 @@ def focus(edges: DataFrame, module: str, hops: int) -> DataFrame:
 def cycle_members(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(module) of modules on a cycle.
 
-    Modules without an incoming or outgoing edge are trimmed again and again, which leaves cycles and
-    the paths between them. On the rest, a module is on a cycle if its label returns: the greatest and
-    least labels are sent forwards and backwards until they settle; edges between different labels are
-    cut, and the two steps repeat until nothing is cut. What has an edge within its label then is on one.
+    Modules without an incoming or outgoing edge are trimmed while that removes a tenth of the edges,
+    which leaves cycles and the paths between them. On the rest, a module is on a cycle if its label
+    returns: the greatest labels are sent forwards and backwards until they settle; edges between
+    different labels are cut, and the two steps repeat until nothing is cut. What has an edge within
+    its label then is on one. An error is raised if max_rounds do not suffice.
     """
     rest = materialize(edges.select("src", "dst").distinct(), "cycle")
     loops = rest.where("src = dst").select(F.col("src").alias("module"))
     size = rest.count()
     for _ in range(max_rounds):
-        if size == 0:
-            break
-        for _ in range(max_rounds):
+        while size:
             trimmed = materialize(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cycle")
-            n = trimmed.count()
-            rest, same, size = trimmed, n == size, n
-            if same or n == 0:
+            n, before = trimmed.count(), size
+            rest, size = trimmed, n
+            if 10 * (before - n) < before:
                 break
         if size == 0:
             break
@@ -76,21 +75,29 @@ def cycle_members(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         if n == size:
             break
         rest, size = kept, n
+    else:
+        raise RuntimeError(f"cycles not found in {max_rounds} rounds")
     return rest.select(F.explode(F.array("src", "dst")).alias("module")).unionByName(loops).distinct()
 
 
 def _spread(edges: DataFrame, source: str, target: str, max_rounds: int) -> DataFrame:
-    """(module, label): the greatest module that reaches it along the edges, itself included."""
+    """(module, label): the greatest module that reaches it along the edges, itself included.
+
+    Greatest is by hash, then name. Each round sends labels over one edge and takes the label of the
+    label as well, since that reaches the module too; so the rounds grow with the logarithm of a path.
+    """
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("module")).distinct()
-    label = materialize(nodes.withColumn("label", F.col("module")), "labels")
+    label = materialize(nodes.withColumn("label", F.struct(F.xxhash64("module").alias("hash"), F.col("module").alias("name"))), "labels")
     for _ in range(max_rounds):
         sent = edges.select(F.col(source).alias("_s"), F.col(target).alias("module")).join(label.select(F.col("module").alias("_s"), "label"), "_s").select("module", "label")
-        new = materialize(label.unionByName(sent).groupBy("module").agg(F.max("label").alias("label")), "labels")
+        moved = label.where("label.name <> module")
+        jumped = checked_join(moved.select("module", F.col("label.name").alias("_s")), moved.select(F.col("module").alias("_s"), "label"), ["_s"], spread_by=["module"]).select("module", "label")
+        new = materialize(label.unionByName(sent).unionByName(jumped).groupBy("module").agg(F.max("label").alias("label")), "labels")
         changed = new.join(label.withColumnRenamed("label", "_old"), "module").where("label <> _old").limit(1).count()
         label = new
         if not changed:
-            break
-    return label
+            return label
+    raise RuntimeError(f"labels not settled in {max_rounds} rounds")
 
 
 def edge_rules(edges: DataFrame, forbidden: list[tuple[str, str]] = (), allowed: list[tuple[str, str]] = (), required: list[tuple[str, str]] = ()) -> DataFrame:

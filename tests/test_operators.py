@@ -255,6 +255,15 @@ def test_packages(spark):
 # -- graph, projectors, extraction, whole analyses
 
 
+def test_long_cycles_are_found_whole(spark):
+    ring = [(f"m{i:03}", f"m{(i + 1) % 50:03}") for i in range(50)]
+    tail = [("m000", "t00"), *[(f"t{i:02}", f"t{i + 1:02}") for i in range(3)], ("t03", "x"), ("x", "y"), ("y", "x")]
+    e = spark.createDataFrame(ring + tail, "src string, dst string")
+    assert {r[0] for r in graph.cycle_members(e, max_rounds=30).collect()} == {a for a, _ in ring} | {"x", "y"}
+    with pytest.raises(RuntimeError):
+        graph.cycle_members(e, max_rounds=2)
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("f", "f"), ("g", "h"), ("h", "g"), ("e", "g")], "src string, dst string")
     assert [r[0] for r in rows(graph.cycle_members(e))] == ["a", "b", "c", "f", "g", "h"]
