@@ -109,7 +109,10 @@ def _topology(spark: SparkSession, a: argparse.Namespace) -> int:
     elif a.format == "html":
         from .operators.slices import view_modules
 
-        print(projectors.html("Modules", [r.asDict() for r in view_modules(flat).drop("martin").orderBy("module").limit(sinks.MOST_ROWS).collect()]))
+        shown = view_modules(flat).drop("martin").orderBy("module").limit(sinks.MOST_ROWS + 1).collect()
+        if len(shown) > sinks.MOST_ROWS:
+            raise ValueError("too many modules for one page; write them partitioned")
+        print(projectors.html("Modules", [r.asDict() for r in shown]))
     else:
         make = {"mermaid": projectors.mermaid, "c4": lambda e, m, x: projectors.c4(e, m, "context", x), "dot": projectors.dot}[a.format]
         print(make(edges, flat, a.least).first()[0])

@@ -342,6 +342,20 @@ def test_whole_analysis_and_commands(spark, tmp_path, capsys):
     assert cli.main(["packages", "validate", str(tmp_path)]) == 1
 
 
+def test_html_refuses_more_modules_than_it_shows(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "src/b").mkdir(parents=True)
+    for f in ("a.py", "b/c.py"):
+        (tmp_path / "src" / f).write_text("def f(x):\n    return x\n")
+    out = str(tmp_path / "out")
+    assert cli.main(["topology", "analyze", str(tmp_path / "src"), "--output", out]) == 0
+    n = readers.modules(spark, os.path.join(out, "metrics/modules.json")).count()
+    monkeypatch.setattr(sinks, "MOST_ROWS", n)
+    assert n > 1 and cli.main(["topology", "viz", out, "--format", "html"]) == 0
+    monkeypatch.setattr(sinks, "MOST_ROWS", n - 1)
+    with pytest.raises(ValueError, match="too many modules"):
+        cli.main(["topology", "viz", out, "--format", "html"])
+
+
 def test_configurations(tmp_path):
     t = tmp_path / "c.toml"
     t.write_text("max_cyclomatic_warning = 1.5\nmax_cyclomatic_failure = 3.0  # limit\n")
