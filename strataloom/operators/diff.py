@@ -73,6 +73,16 @@ def new_hotspots(base: DataFrame, target: DataFrame, limit: float) -> DataFrame:
     return j.where(F.coalesce("base_value", F.lit(0)) <= limit).select("id", "base_value", F.col("value").alias("target_value"), F.when(F.col("base_value").isNull(), "NEW_COMPLEX").otherwise("COMPLEXITY_INCREASE").alias("type"))
 
 
+def module_hotspots(base_edges: DataFrame, target_edges: DataFrame, base_modules: DataFrame, target_modules: DataFrame, least: float = 0.0) -> DataFrame:
+    """(id, base_value, target_value, type) in the shape of new_hotspots: COUPLING_INCREASE with id "src -> dst" for
+    edges (src, dst, value) whose value rose by more than least, and ZONE_OF_PAIN with the distances for modules
+    (module, instability, distance) that came into that zone or are new in it."""
+    rose = coupling_changes(base_edges, target_edges, least).where("delta > 0").select(F.concat("src", F.lit(" -> "), "dst").alias("id"), F.col("base").cast("double").alias("base_value"), F.col("target").cast("double").alias("target_value"), F.lit("COUPLING_INCREASE").alias("type"))
+    distance = lambda df, name: df.select("module", F.col("distance").cast("double").alias(name))
+    pain = zone_changes(base_modules, target_modules).where("target_zone = 'zone_of_pain'").join(distance(base_modules, "base_value"), "module", "left").join(distance(target_modules, "target_value"), "module", "left")
+    return rose.unionByName(pain.select(F.col("module").alias("id"), "base_value", "target_value", F.lit("ZONE_OF_PAIN").alias("type")))
+
+
 def change_class(delta: Column | str, degraded: float = 0.0, severe: float = 5.0) -> Column:
     d = F.col(delta) if isinstance(delta, str) else delta
     return F.when(d < 0, "improved").when(d <= degraded, "unchanged").when(d <= severe, "degraded").otherwise("severe")

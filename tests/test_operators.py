@@ -255,6 +255,17 @@ def test_packages(spark):
 # -- graph, projectors, extraction, whole analyses
 
 
+def test_module_hotspots(spark):
+    edges = lambda *r: spark.createDataFrame(list(r), "src string, dst string, value double")
+    mods = lambda *r: spark.createDataFrame(list(r), "module string, instability double, distance double")
+    e0, e1 = edges(("a", "b", 0.25), ("b", "c", 0.5), ("c", "d", 0.5), ("d", "e", 0.5)), edges(("a", "b", 0.75), ("b", "c", 0.25), ("c", "d", 0.5625), ("e", "f", 0.5))
+    m0, m1 = mods(("a", 0.5, 0.25), ("b", 0.5, 0.75), ("c", 0.5, 0.75), ("gone", 0.5, 0.75)), mods(("a", 0.5, 0.75), ("b", 0.5, 0.875), ("c", 0.5, 0.25), ("new", 0.0, 1.0))
+    got = rows(diff.module_hotspots(e0, e1, m0, m1, 0.125))
+    want = [("a -> b", 0.25, 0.75, "COUPLING_INCREASE"), ("e -> f", 0.0, 0.5, "COUPLING_INCREASE"), ("a", 0.25, 0.75, "ZONE_OF_PAIN"), ("new", None, 1.0, "ZONE_OF_PAIN")]
+    assert got == sorted(want, key=str)
+    assert diff.module_hotspots(e1, e1, m1, m1).count() == 0
+
+
 def test_long_cycles_are_found_whole(spark):
     ring = [(f"m{i:03}", f"m{(i + 1) % 50:03}") for i in range(50)]
     tail = [("m000", "t00"), *[(f"t{i:02}", f"t{i + 1:02}") for i in range(3)], ("t03", "x"), ("x", "y"), ("y", "x")]
