@@ -6,19 +6,20 @@ type_changed), where a rename is proved by the values: in more than half of the
 hold both fields, the two JSON values are equal. Chained steps route every field of every file to
 a field of the target schema; renames, casts and defaults that a record needed are listed with it.
 
-Only per-file counts by field are shuffled at first; values are read again just for the fields that
-vanish or appear in a step. No step gathers a file in one task.
+Records are taken apart in the JVM as variants. Only per-file counts by field are shuffled at first;
+values are read again just for the fields that vanish or appear in a step, where renames are found
+by an equal join on step, record id and value. No step gathers a file or a record id in one task.
 
 Defined cases: payloads that are null, not JSON or not an object hold no field; a null value is an
-absent value; empty objects hold no field; of equal keys in an object the last counts; numbers are
-equal by value (1 and 1.0); of equally frequent types the first of number, string, boolean, array
-is taken; records without id take no part in rename proofs; repeated ids count once, by any of
-their values; empty tables give no rows; rows without file_no belong to no step.
+absent value; empty objects hold no field; of equal keys in an object the last counts, of equal
+paths the first in the order of keys; numbers are equal by value (1 and 1.0); of equally frequent
+types the first of number, string, boolean, array is taken; records without id take no part in
+rename proofs; repeated ids count once, by any of their values; empty tables give no rows; rows
+without file_no belong to no step.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,60 +31,95 @@ from ..runtime import checked_join, materialize
 TYPES = ("number", "string", "boolean", "array")
 FILE = ["repo", "artifact", "file_no"]
 _FILE_SCHEMA = "repo string, artifact string, file_no bigint"
+_FIELDS = "array<struct<path:string,value:string>>"
+#: Levels of objects up to which a count of braces is taken as the depth without looking closer.
+PLAIN_DEPTH = 12
 
 
-def _plain(v):
-    """v with numbers of equal value written alike."""
-    if isinstance(v, float) and v.is_integer() and abs(v) < 1e15:
-        return int(v)
-    if isinstance(v, list):
-        return [_plain(x) for x in v]
-    if isinstance(v, dict):
-        return {k: _plain(x) for k, x in v.items()}
-    return v
-
-
-def fields_of(payload: str | None) -> dict[str, tuple[str, str]]:
-    """path -> (type, value as canonical JSON) of the non-null fields of one record."""
-    try:
-        top = json.loads(payload)
-    except (TypeError, ValueError, RecursionError):
-        return {}
-    found: dict[str, tuple[str, str]] = {}
-    if not isinstance(top, dict):
-        return found
-    todo = [("", top)]
-    while todo:
-        at, o = todo.pop()
-        for k, v in o.items():
-            path = f"{at}.{k}" if at else k
-            if isinstance(v, dict):
-                todo.append((path, v))
-            elif v is not None:
-                kind = "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array"
-                found[path] = (kind, json.dumps(_plain(v), sort_keys=True, ensure_ascii=False))
-    return found
-
-
-def _count_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nesting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Greatest number of open brackets of each text, outside of strings."""
     for b in batches:
-        counts: dict[tuple, int] = {}
-        for repo, artifact, file_no, payload in zip(b["repo"], b["artifact"], b["file_no"], b["payload"], strict=True):
-            key = (repo, artifact, None if pd.isna(file_no) else int(file_no))
-            counts[(*key, None, None)] = counts.get((*key, None, None), 0) + 1
-            for path, (kind, _) in fields_of(payload).items():
-                if path != "id":
-                    k = (*key, path, kind)
-                    counts[k] = counts.get(k, 0) + 1
-        out = pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["repo", "artifact", "file_no", "field_path", "kind", "n"])
-        out["file_no"] = out["file_no"].astype("Int64")
-        yield out
-
-
-def file_schemas(raw: DataFrame) -> DataFrame:
+        out = []
+        for text in b["payload"]:
+            most = now = 0
+            quoted = skip = False
+            for c in text:
+                if skip:
+                    skip = False
+                elif quoted:
+                    skip, quoted = c == "\\", c != '"'
+                elif c == '"':
+                    quoted = True
+                elif c == "{":
+                    now += 1
+                    most = max(most, now)
+                elif c == "}":
+                    now -= 1
+            out.append(most)
+        yield pd.DataFrame({"depth": out})
+
+
+def nesting_depth(raw: DataFrame) -> int:
+    """A bound of the levels of objects in payload: the braces outside of strings and arrays where they are few, else counted by text."""
+    count = lambda c: F.octet_length(c) - F.octet_length(F.replace(c, F.lit("{"), F.lit("")))
+    bare = F.regexp_replace("payload", r'"(?:[^"\\]|\\.)*+"', "")
+    for _ in range(2):
+        bare = F.regexp_replace(bare, r"\[[^\[\]]*+\]", "")
+    few = F.when(count(F.col("payload")) <= 3, count(F.col("payload"))).otherwise(count(bare))
+    most = raw.agg(F.max(few)).first()[0] or 0
+    if most > PLAIN_DEPTH:
+        most = raw.where(few > PLAIN_DEPTH).select("payload").mapInPandas(_nesting, "depth int").agg(F.max("depth")).first()[0] or 0
+    return max(int(most), 1)
+
+
+def record_fields(payload: Column | str, depth: int) -> Column:
+    """array<struct<path, value>> of the non-null fields of a JSON record, value as JSON text; depth: levels of objects."""
+
+    def level(members: Column, above: Column | None, left: int) -> Column:
+        def one(e: Column) -> Column:
+            path = e["key"] if above is None else F.concat(above, F.lit("."), e["key"])
+            text = F.to_json(e["value"])
+            leaf = F.filter(F.array(F.struct(path.alias("path"), text.alias("value"))), lambda f: f["value"] != "null")
+            if left <= 1:
+                return leaf
+            inner = F.try_variant_get(e["value"], "$", "map<string,variant>")
+            return F.when(inner.isNotNull(), level(inner, path, left - 1)).otherwise(leaf)
+
+        return F.flatten(F.transform(F.map_entries(members), one))
+
+    doc = F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    return F.coalesce(F.filter(level(doc, None, depth), lambda f: ~f["value"].startswith("{")), F.array().cast(_FIELDS))
+
+
+def with_fields(df: DataFrame, depth: int, name: str = "_fields") -> DataFrame:
+    """df with the fields of its payload instead of the payload; each path stands once."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    rest = [c for c in df.columns if c != "payload"]
+    paths = F.transform(name, lambda f: f["path"])
+    once = F.when(F.size(F.array_distinct(paths)) == F.size(name), F.col(name)).otherwise(F.filter(name, lambda f, i: F.array_position(paths, f["path"]) == i + 1))
+    # a generator of one row keeps the optimizer from copying the expression to each place that uses it
+    return df.select(*rest, F.explode(F.array(record_fields("payload", depth))).alias(name)).select(*rest, F.explode(F.array(once)).alias(name))
+
+
+def kind_of(value: Column) -> Column:
+    """number, string, boolean or array, by the JSON text."""
+    first = F.substring(value, 1, 1)
+    return F.when(first == '"', "string").when(first == "[", "array").when(first.isin("t", "f"), "boolean").when(first.isNotNull(), "number")
+
+
+def comparable(value: Column) -> Column:
+    """The JSON text, numbers of equal value written alike."""
+    real = value.try_cast("double")
+    plain = F.when((real == F.rint(real)) & (F.abs(real) < 1e15), real.cast("bigint").cast("string")).otherwise(real.cast("string"))
+    return F.when((kind_of(value) == "number") & value.rlike("[.eE]"), plain).otherwise(value)
+
+
+def file_schemas(raw: DataFrame, depth: int | None = None) -> DataFrame:
     """(repo, artifact, file_no, prev_no, fields map<path, type>, fingerprint) per file."""
-    counts = raw.select(*FILE, "payload").mapInPandas(_count_fields, f"{_FILE_SCHEMA}, field_path string, kind string, n bigint")
-    by_type = counts.groupBy(*FILE, "field_path").agg(*[F.sum(F.when(F.col("kind") == t, F.col("n")).otherwise(0)).alias(t) for t in TYPES])
+    own = raw.select(*FILE, "payload")
+    each = with_fields(own, depth or nesting_depth(own)).select(*FILE, F.explode_outer("_fields").alias("f"))
+    named = each.select(*FILE, F.when(F.col("f.path") != "id", F.col("f.path")).alias("field_path"), kind_of(F.col("f.value")).alias("kind"))
+    by_type = named.groupBy(*FILE, "field_path").agg(*[F.count_if(F.col("kind") == t).alias(t) for t in TYPES])
     best = F.greatest(*TYPES)
     kind: Column = F.lit(None).cast("string")
     for t in reversed(TYPES):
@@ -103,36 +139,41 @@ def _candidates(schemas: DataFrame) -> DataFrame:
         F.filter(F.array_intersect(old, new), lambda p: F.element_at("before", p) != F.element_at("fields", p)).alias("retyped"))
 
 
-def _pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for repo, artifact, step, later, wanted, payload in zip(b["repo"], b["artifact"], b["step_no"], b["later"], b["wanted"], b["payload"], strict=True):
-            have = fields_of(payload)
-            if "id" in have:
-                rows += [(repo, artifact, step, later, have["id"][1], p, have[p][1]) for p in wanted if p in have]
-        yield pd.DataFrame(rows, columns=["repo", "artifact", "step_no", "later", "rec_id", "path", "value"])
-
+def renames(raw: DataFrame, steps: DataFrame, depth: int | None = None) -> DataFrame:
+    """(repo, artifact, file_no, field_path, new_path) that the values prove.
 
-def renames(raw: DataFrame, steps: DataFrame) -> DataFrame:
-    """(repo, artifact, file_no, field_path, new_path) that the values prove."""
+    Pairs of fields are found by an equal join on step, record id and value, so only fields that
+    share a value somewhere are counted further; how many ids hold both then comes from the distinct
+    paths of each id, which are bounded by the schema.
+    """
+    step = ["repo", "artifact", "step_no"]
     open_steps = steps.where((F.size("gone") > 0) & (F.size("come") > 0))
-    sides = open_steps.select("repo", "artifact", F.col("file_no").alias("step_no"), F.explode(F.array(F.struct(F.col("prev_no").alias("file_no"), F.lit(False).alias("later"), F.col("gone").alias("wanted")), F.struct(F.col("file_no").alias("file_no"), F.lit(True).alias("later"), F.col("come").alias("wanted")))).alias("s")).select("repo", "artifact", "step_no", "s.*")
-    rows = checked_join(raw.select(*FILE, "payload"), sides, FILE, "inner", ["payload"])
-    values = rows.select("repo", "artifact", "step_no", "later", "wanted", "payload").mapInPandas(_pick, "repo string, artifact string, step_no bigint, later boolean, rec_id string, path string, value string")
-    per_id = values.groupBy("repo", "artifact", "step_no", "rec_id").agg(F.collect_set(F.when(~F.col("later"), F.struct("path", "value"))).alias("olds"), F.collect_set(F.when(F.col("later"), F.struct("path", "value"))).alias("news"))
-    pairs = per_id.where((F.size("olds") > 0) & (F.size("news") > 0)).select("repo", "artifact", "step_no", "rec_id", F.explode("olds").alias("o"), "news").select("repo", "artifact", "step_no", "rec_id", "o", F.explode("news").alias("n"))
-    once = pairs.groupBy("repo", "artifact", "step_no", "rec_id", F.col("o.path").alias("field_path"), F.col("n.path").alias("new_path")).agg(F.max(F.col("o.value") == F.col("n.value")).alias("same"))
-    votes = once.groupBy("repo", "artifact", "step_no", "field_path", "new_path").agg(F.count(F.lit(1)).alias("both"), F.sum(F.col("same").cast("long")).alias("equal"))
-    return votes.where("2 * equal > both").select("repo", "artifact", F.col("step_no").alias("file_no"), "field_path", "new_path")
-
-
-def schema_changes(raw: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+    side = lambda no, later, wanted: F.struct(F.col(no).alias("file_no"), F.lit(later).alias("later"), F.col(wanted).alias("wanted"))
+    sides = open_steps.select("repo", "artifact", F.col("file_no").alias("step_no"), F.explode(F.array(side("prev_no", False, "gone"), side("file_no", True, "come"))).alias("s")).select(*step, "s.*")
+    own = raw.select(*FILE, "payload")
+    rows = with_fields(checked_join(own, sides, FILE, "inner", ["payload"]), depth or nesting_depth(own))
+    rec_id = F.try_element_at(F.filter("_fields", lambda f: f["path"] == "id"), F.lit(1))["value"]
+    picked = rows.select(*step, "later", rec_id.alias("rec_id"), F.explode(F.filter("_fields", lambda f: F.array_contains("wanted", f["path"]))).alias("f")).where("rec_id IS NOT NULL")
+    plain = picked.select(*step, "later", comparable(F.col("rec_id")).alias("rec_id"), F.col("f.path").alias("path"), comparable(F.col("f.value")).alias("v"))
+    values = materialize(plain.select(*step, "later", "rec_id", "path", F.xxhash64("v").alias("h"), F.hash("v").alias("h2")).distinct(), "drift-values")
+    half = lambda later, name: values.where(F.col("later") == later).select(*step, "rec_id", F.col("path").alias(name), "h", "h2")
+    equal = half(False, "field_path").join(half(True, "new_path"), [*step, "rec_id", "h", "h2"]).select(*step, "rec_id", "field_path", "new_path").distinct()
+    shared = materialize(equal.groupBy(*step, "field_path", "new_path").agg(F.count(F.lit(1)).alias("equal")), "drift-pairs")
+    by_step = shared.groupBy(*step).agg(F.collect_list(F.struct("field_path", "new_path")).alias("pairs"))
+    paths = values.groupBy(*step, "rec_id").agg(F.collect_set(F.when(~F.col("later"), F.col("path"))).alias("olds"), F.collect_set(F.when(F.col("later"), F.col("path"))).alias("news")).where((F.size("olds") > 0) & (F.size("news") > 0))
+    held = checked_join(paths, by_step, step, "inner", ["rec_id"]).select(*step, F.explode(F.filter("pairs", lambda p: F.array_contains("olds", p["field_path"]) & F.array_contains("news", p["new_path"]))).alias("p"))
+    both = held.groupBy(*step, F.col("p.field_path").alias("field_path"), F.col("p.new_path").alias("new_path")).agg(F.count(F.lit(1)).alias("both"))
+    return shared.join(both, [*step, "field_path", "new_path"]).where("2 * equal > both").select("repo", "artifact", F.col("step_no").alias("file_no"), "field_path", "new_path")
+
+
+def schema_changes(raw: DataFrame, schemas: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """(repo, artifact, file_no, change, field_path, new_path): the steps of every series of files.
 
     raw has repo, artifact, file_no and payload. schemas: its file_schemas, if they are known.
     """
-    steps = materialize(_candidates(file_schemas(raw) if schemas is None else schemas), "drift-steps")
-    moved = renames(raw, steps).groupBy(*FILE).agg(F.collect_set(F.struct("field_path", "new_path")).alias("moved"))
+    depth = depth or nesting_depth(raw)
+    steps = materialize(_candidates(file_schemas(raw, depth) if schemas is None else schemas), "drift-steps")
+    moved = renames(raw, steps, depth).groupBy(*FILE).agg(F.collect_set(F.struct("field_path", "new_path")).alias("moved"))
     joined = steps.join(moved, FILE, "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<struct<field_path:string,new_path:string>>")))
     row = lambda change, path, new: F.struct(F.lit(change).alias("change"), path.alias("field_path"), new.alias("new_path"))
     left = F.array_except("gone", F.col("moved.field_path"))
@@ -147,8 +188,9 @@ def migration_routes(schemas: DataFrame, changes: DataFrame, target: list[str])
     """(repo, artifact, file_no, version, fingerprint, routes map<path, target or own path>) per file.
 
     Renames are chained over the files of a series; a chain goes to the target field that any of its
-    names is. version counts the distinct schemas of a series. One task gets the steps of one series,
-    which has a row per file and change, never a record.
+    names is, a name that is a target itself to that one. A name that comes back while its successor
+    is still there begins a new chain. version counts the distinct schemas of a series. One task gets
+    the steps of one series, which has a row per file and change, never a record.
     """
     log = changes.where("change = 'renamed'").groupBy(*FILE).agg(F.collect_list(F.struct("field_path", "new_path")).alias("moved"))
     files = schemas.select(*FILE, "fingerprint", F.map_keys("fields").alias("paths")).join(log, FILE, "left").select(*FILE, "fingerprint", "paths", F.transform("moved", lambda m: m["field_path"]).alias("olds"), F.transform("moved", lambda m: m["new_path"]).alias("news"))
@@ -162,15 +204,19 @@ def migration_routes(schemas: DataFrame, changes: DataFrame, target: list[str])
         for paths, olds, news, mark in zip(ordered["paths"], ordered["olds"], ordered["news"], ordered["fingerprint"], strict=True):
             moved = {} if olds is None else dict(zip(news, olds, strict=True))
             now: dict[str, int] = {}
-            for p in paths if paths is not None else ():
-                chain_no = root.get(moved.get(p, p))
-                if chain_no is None:
-                    chain_no = seen.get(p)
-                if chain_no is None:
-                    chain_no = len(names)
-                    names.append(set())
-                names[chain_no].add(p)
-                now[p] = seen[p] = chain_no
+            here = list(paths) if paths is not None else []
+            for p in here:  # fields that go on from the file before, under their old or a new name
+                if moved.get(p, p) in root:
+                    now[p] = root[moved.get(p, p)]
+            for p in here:
+                if p not in now:
+                    back = seen.get(p)
+                    if back is None or back in now.values():
+                        back = len(names)
+                        names.append(set())
+                    now[p] = back
+                names[now[p]].add(p)
+                seen[p] = now[p]
             root = now
             if mark != last:
                 version, last = version + 1, mark
@@ -179,37 +225,13 @@ def migration_routes(schemas: DataFrame, changes: DataFrame, target: list[str])
         out = ordered[["repo", "artifact", "file_no"]].reset_index(drop=True)
         out["version"] = [r[0] for r in rows]
         out["fingerprint"] = [r[1] for r in rows]
-        out["routes"] = [{p: goal[c] or p for p, c in r[2].items()} for r in rows]
+        out["routes"] = [{p: p if p in wanted else goal[c] or p for p, c in r[2].items()} for r in rows]
         return out
 
     wanted = set(target)
     return files.groupBy("repo", "artifact").applyInPandas(chain, f"{_FILE_SCHEMA}, version bigint, fingerprint string, routes map<string,string>")
 
 
-def _router(targets: set[str]):
-    """Routes each record's fields: known ones by target, the rest by its own name, and the renames used."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known, rest, renamed = [], [], []
-            for routes, payload in zip(b["routes"], b["payload"], strict=True):
-                routes = dict(routes) if routes is not None else {}
-                mine: dict[str, str] = {}
-                other: dict[str, str] = {}
-                moves = []
-                for path, (_, value) in sorted(fields_of(payload).items()):
-                    to = routes.get(path, path)
-                    (mine if to in targets else other).setdefault(to, value)
-                    if to != path:
-                        moves.append(f"rename {path} -> {to}")
-                known.append(mine)
-                rest.append(other)
-                renamed.append(moves)
-            yield b.drop(columns=["payload", "routes"]).assign(have=known, rest=rest, renamed=renamed)
-
-    return run
-
-
 def _cast(value: Column, kind: str) -> tuple[Column, Column, Column]:
     """The value of a JSON text as kind, whether a cast was needed, and whether it changed the number; a one-element array is its element."""
     inner = F.regexp_extract(value, r"^\[([^,\[\]]*)\]$", 1)
@@ -233,17 +255,30 @@ def unified(raw: DataFrame, artifact: str, target: dict[str, str], defaults: dic
     """One consistent table of an artifact: record_id, repo, file_no, version, the target fields, rest, applied.
 
     target: dotted path -> Spark type; the column is the path with _ for dots. A field without a value
-    that fits takes its default, else null. rest: JSON texts of the fields routed to no target, and,
-    by target path, of values that don't fit the type or were rounded. applied: the rename, cast,
-    cast failed, rounded and default rules this record went through.
+    that fits takes its default, else null. Of several fields of a record that go to one target, the
+    one of its own name counts, else the least path. rest: JSON texts of the fields routed to no
+    target or that lost to another, and, by target path, of values that don't fit the type or were
+    rounded. applied: the rename, conflict, cast, cast failed, rounded and default rules this record
+    went through.
     """
     mine = raw.where(F.col("artifact") == artifact)
-    schemas = materialize(file_schemas(mine), "drift-schemas") if schemas is None else schemas
-    changes = schema_changes(mine, schemas) if changes is None else changes
+    depth = nesting_depth(mine)
+    schemas = materialize(file_schemas(mine, depth), "drift-schemas") if schemas is None else schemas
+    changes = schema_changes(mine, schemas, depth) if changes is None else changes
     routes = materialize(migration_routes(schemas, changes, list(target)), "drift-routes")
     rows = checked_join(mine.select("record_id", *FILE, "payload"), routes, FILE, "left", ["record_id"])
-    out_schema = f"record_id bigint, {_FILE_SCHEMA}, version bigint, have map<string,string>, rest map<string,string>, renamed array<string>"
-    flat = rows.select("record_id", *FILE, "version", "routes", "payload").mapInPandas(_router(set(target)), out_schema)
+    flat = with_fields(rows.select("record_id", *FILE, "version", "routes", "payload"), depth)
+    to = lambda f: F.coalesce(F.try_element_at("routes", f["path"]), f["path"])
+    routed = F.transform("_fields", lambda f: F.struct(to(f).alias("to"), (to(f) != f["path"]).alias("moved"), f["path"].alias("path"), f["value"].alias("value")))
+    flat = flat.withColumn("_all", F.array_sort(routed)).withColumn("_mine", F.filter("_all", lambda x: x["to"].isin(list(target))))
+    first = lambda x, i: (i == 0) | (F.try_element_at("_mine", i)["to"] != x["to"])
+    entry = lambda key: lambda x: F.struct(x[key].alias("key"), x["value"].alias("value"))
+    lost = F.filter("_mine", lambda x, i: (i > 0) & (F.try_element_at("_mine", i)["to"] == x["to"]))
+    flat = flat.withColumns({"have": F.map_from_entries(F.transform(F.filter("_mine", first), entry("to"))), "_lost": lost})
+    other = F.filter("_all", lambda x: ~x["to"].isin(list(target)))
+    moves = F.transform(F.filter("_all", lambda x: x["moved"]), lambda x: F.concat(F.lit("rename "), x["path"], F.lit(" -> "), x["to"]))
+    conflicts = F.transform("_lost", lambda x: F.concat(F.lit("conflict "), x["path"], F.lit(" -> "), x["to"]))
+    flat = flat.select("record_id", *FILE, "version", "have", F.map_from_entries(F.concat(F.transform(other, entry("path")), F.transform("_lost", entry("path")))).alias("rest"), F.concat(F.array_sort(moves), conflicts).alias("renamed"))
     values, outs, states, columns, rules, odd = {}, {}, {}, [], [F.col("renamed")], []
     for i, (path, kind) in enumerate(target.items()):
         value = F.col(f"_value{i}")

@@ -1,9 +1,11 @@
 import json
+import os
 import random
 from collections import Counter, defaultdict
 
 import pytest
 
+from strataloom import runtime
 from strataloom.operators import schema_drift
 from strataloom.operators.references import Reference, orphan_counts, orphan_rows
 from strataloom.operators.skew import heavy_keys, outsize_keys, salted_aggregate
@@ -99,6 +101,33 @@ def test_current_rows_take_the_highest_order(spark):
     assert rows(current_rows(df, ["id"], "seq", ["v"])) == [("a", 4), ("b", 1)]
 
 
+def _plain(v):
+    if isinstance(v, float) and v.is_integer() and abs(v) < 1e15:
+        return int(v)
+    if isinstance(v, list):
+        return [_plain(x) for x in v]
+    return {k: _plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+
+def _fields_of(payload):
+    """path -> (type, canonical JSON text) of a record, without Spark."""
+    try:
+        top = json.loads(payload)
+    except (TypeError, ValueError):
+        return {}
+    found, todo = {}, [("", top)] if isinstance(top, dict) else []
+    while todo:
+        at, o = todo.pop()
+        for k, v in o.items():
+            path = f"{at}.{k}" if at else k
+            if isinstance(v, dict):
+                todo.append((path, v))
+            elif v is not None:
+                kind = "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array"
+                found[path] = (kind, json.dumps(_plain(v), sort_keys=True))
+    return found
+
+
 def _brute_changes(raw):
     files = defaultdict(list)
     for repo, artifact, file_no, payload in raw:
@@ -108,7 +137,7 @@ def _brute_changes(raw):
     for k, payloads in files.items():
         kinds, values = defaultdict(Counter), defaultdict(lambda: defaultdict(set))
         for p in payloads:
-            have = schema_drift.fields_of(p)
+            have = _fields_of(p)
             for path, (kind, v) in have.items():
                 if path != "id":
                     kinds[path][kind] += 1
@@ -179,6 +208,43 @@ def test_unified_table_follows_chained_renames(spark):
     assert "cast metrics.halstead.volume to double" in got[(4, "f2")]["applied"] and got[(4, "f0")]["version"] == 4
 
 
+def test_unified_table_keeps_both_values_when_an_old_name_returns(spark):
+    docs = [(1, {"a": 1}), (2, {"b": 1}), (3, {"a": 900, "b": 0}), (4, {"b": 2, "q.a": 5, "q": {"a": 6}})]
+    files = [(n, json.dumps({"id": f"f{i}"} | {k: (v + i if isinstance(v, int) else v) for k, v in d.items()})) for n, d in docs for i in range(3)]
+    out = schema_drift.unified(_raw(spark, files), "functions", {"id": "string", "b": "bigint"})
+    got = {(r["file_no"], r["id"]): r for r in out.collect()}
+    for i in range(3):
+        one, two, three = (got[(n, f"f{i}")] for n in (1, 2, 3))
+        assert (one["b"], one["applied"], two["b"]) == (1 + i, ["rename a -> b"], 1 + i)
+        assert (three["b"], three["rest"], three["applied"]) == (i, {"a": str(900 + i)}, [])
+        assert got[(4, f"f{i}")]["rest"] == {"q.a": "6"}
+
+
+def test_unified_table_reports_two_fields_for_one_target(spark):
+    routes = {"x": "t", "y": "t", "t": "t"}
+    schema = "repo string, artifact string, file_no bigint, version bigint, fingerprint string, routes map<string,string>"
+    original = schema_drift.migration_routes
+    schema_drift.migration_routes = lambda schemas, changes, target: spark.createDataFrame([("r", "functions", 1, 1, "f", routes)], schema)
+    try:
+        raw = _raw(spark, [(1, json.dumps({"x": 1, "y": 2, "t": 3})), (1, json.dumps({"x": 1, "y": 2}))])
+        got = [(r["t"], r["rest"], r["applied"]) for r in schema_drift.unified(raw, "functions", {"t": "bigint"}).orderBy("record_id").collect()]
+    finally:
+        schema_drift.migration_routes = original
+    moves = ["rename x -> t", "rename y -> t"]
+    assert got == [(3, {"x": "1", "y": "2"}, [*moves, "conflict x -> t", "conflict y -> t"]), (1, {"y": "2"}, [*moves, "conflict y -> t"])]
+
+
+def test_fields_of_deep_and_bracketed_records(spark):
+    deep: object = 7
+    for _ in range(20):
+        deep = {"k": deep}
+    texts = [json.dumps({"a": deep}), json.dumps({"s": "{{{{{{{{{{{{{{{{{", "t": [{"u": {}}] * 9}), "{}", "", None]
+    df = spark.createDataFrame([("r", "a", 1, t) for t in texts], "repo string, artifact string, file_no bigint, payload string")
+    depth = schema_drift.nesting_depth(df)
+    got = [[tuple(f) for f in r["_fields"]] for r in schema_drift.with_fields(df, depth).collect()]
+    assert depth == 21 and got[0] == [("a" + ".k" * 20, "7")] and [f[0] for f in got[1]] == ["s", "t"] and got[2:] == [[], [], []]
+
+
 def test_unified_table_keeps_what_does_not_fit(spark):
     big = 2**53 + 1
     docs = [
@@ -206,6 +272,29 @@ def test_unified_table_keeps_what_does_not_fit(spark):
         assert (r["n"], r["d"], r["a"], kept, r["applied"]) == (n, d, a, rest, applied), i
 
 
+def test_written_tables_can_be_removed_and_need_a_shared_folder(spark, monkeypatch):
+    df = spark.range(3)
+    one, two = runtime.materialize(df, "one"), runtime.materialize(df, "two")
+    paths = [t._written_at for t in (one, two)]
+    there = lambda p: os.path.exists(p.removeprefix("file:"))
+    assert all(map(there, paths))
+    runtime.discard(one, df)
+    assert not there(paths[0]) and there(paths[1])
+    runtime.release(spark)
+    assert not there(paths[1])
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda *a: None)}))
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.checkpoint_dir(Far)
+
+
 def test_checked_join_gives_the_same_either_way(spark):
     big = spark.createDataFrame([(i, "h" if i % 2 else str(i % 5)) for i in range(200)], "i bigint, k string")
     small = spark.createDataFrame([("h", 1), ("2", 2)], "k string, v bigint")
