@@ -16,31 +16,40 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 
 # ---- fixed values: words that mark a context, by language en, de, fr, es ----
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "monsieur", "madame", "mme", "mlle", "señor", "señora", "sr", "sra", "doctor", "doctora", "sir", "don", "doña"}
+#: prepositions, labels of mail and package headers, and verbs that often stand before a person
 LEADS = {
-    "by", "from", "to", "with", "ask", "cc", "bcc", "contact", "maintainer", "author", "reviewer", "owner", "assignee", "name", "interviewed", "met", "thanks", "regards", "week", "call", "and", "attn", "dear", "signed",
-    "von", "an", "mit", "bei", "durch", "und", "hallo", "grüßen", "gruß", "par", "avec", "chez", "à", "et", "cordialement", "bonjour", "por", "con", "para", "a", "y", "saludos", "hola", "reported", "approved", "written",
+    "by", "from", "to", "with", "and", "cc", "bcc", "attn", "attention", "dear", "hello", "hi", "contact", "author", "authors", "owner", "reviewer", "maintainer", "editor", "sender", "recipient", "manager", "customer", "patient", "employee", "applicant", "name", "ask", "tell", "call", "met", "meet", "told", "asked", "called",
+    "thanks", "thank", "regards", "sincerely", "signed", "written", "approved", "reported", "assigned", "interviewed", "colleague", "said", "via",
+    "von", "an", "mit", "bei", "durch", "und", "hallo", "lieber", "liebe", "grüßen", "gruß", "grüße", "kollege", "kollegin", "autor", "autorin",
+    "par", "avec", "chez", "à", "et", "cher", "chère", "bonjour", "cordialement", "auteur", "auprès", "por", "con", "para", "a", "y", "hola", "estimado", "estimada", "saludos", "autor", "autora", "atentamente",
 }
 ARTICLES = {"the", "a", "an", "this", "that", "der", "die", "das", "dem", "den", "ein", "eine", "le", "la", "les", "l", "un", "une", "el", "los", "las", "una"}
+#: function words, and words of headings and greetings, that are capitalised without being a name
 NO_NAMES = {
-    "the", "this", "that", "these", "those", "and", "or", "but", "if", "in", "on", "at", "of", "for", "to", "from", "with", "without", "by", "as", "is", "are", "was", "were", "it", "its", "we", "you", "he", "she", "they", "my", "your", "our", "their", "not", "no", "yes",
-    "after", "before", "during", "until", "since", "under", "over", "most", "each", "every", "both", "issue", "see", "run", "call", "let", "please", "thanks", "mr", "mrs", "ms", "dr", "herr", "frau", "mme", "info", "note", "todo", "index", "service", "release", "static", "analysis", "train",
-    "der", "die", "das", "den", "dem", "und", "oder", "von", "mit", "für", "bei", "nach", "vor", "seit", "ist", "sind", "nicht", "wir", "sie", "es", "le", "la", "les", "et", "ou", "de", "du", "des", "avec", "pour", "par", "sur", "dans", "el", "los", "las", "y", "o", "con", "para", "por", "en", "del", "que", "un", "una",
-    "reported", "reviewer", "interviewed", "signed", "contact", "maintainer", "name", "regards", "best", "cordialement", "saludos", "tel", "phone", "week", "clone", "icon", "host", "trace", "line", "range", "histogram", "tracked", "bump", "install", "postal", "ship", "someone", "fixture", "user", "said",
+    "the", "this", "that", "these", "those", "and", "or", "but", "if", "in", "on", "at", "of", "for", "to", "from", "with", "without", "by", "as", "is", "are", "was", "were", "be", "it", "its", "we", "you", "he", "she", "they", "my", "your", "our", "their", "his", "her", "not", "no", "yes", "so", "then", "than", "there", "here",
+    "what", "when", "where", "which", "who", "why", "how", "all", "any", "some", "each", "every", "both", "most", "more", "many", "few", "one", "two", "three", "after", "before", "during", "until", "since", "under", "over", "while", "because", "also", "only", "now", "please", "thanks", "thank", "dear", "hello", "hi",
+    "mr", "mrs", "ms", "dr", "prof", "herr", "frau", "mme", "mlle", "sr", "sra", "regards", "best", "kind", "sincerely", "cordialement", "saludos", "atentamente", "subject", "date", "name", "names", "phone", "tel", "fax", "mobile", "email", "mail", "address", "contact", "author", "reviewer", "maintainer", "owner", "signed",
+    "let", "see", "call", "ask", "note", "todo", "info", "warning", "error", "debug", "fixed", "added", "removed", "changed", "updated", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+    "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december",
+    "der", "die", "das", "den", "dem", "ein", "eine", "und", "oder", "von", "mit", "für", "bei", "nach", "vor", "seit", "ist", "sind", "war", "nicht", "wir", "sie", "es", "im", "am", "zum", "zur", "bitte", "danke", "wenn", "dann", "noch", "nur", "auch", "alle", "jede", "jeder",
+    "le", "la", "les", "et", "ou", "de", "du", "des", "un", "une", "avec", "pour", "par", "sur", "dans", "est", "sont", "nous", "vous", "il", "elle", "ne", "pas", "ce", "cette", "voir", "merci", "si", "el", "los", "las", "y", "o", "con", "para", "por", "en", "del", "que", "una", "es", "son", "no", "se", "su", "al", "gracias",
 }
 ID_LABELS = re.compile(r"(?i)\b(?:ssn|social security|national id|identity|identity number|id no|id number|passport|tax id|taxpayer|ni number|insurance|steuer|steuernummer|pass-?nr|reisepass|ausweis\w*|sozialversicherung\w*|personalausweis|fiscal|passeport|identité|sécurité sociale|nif|nie|dni|documento|pasaporte|seguridad social|cédula|\"id\"|tin|curp|rfc)\b|\"id\"")
 PHONE_LABELS = re.compile(r"(?i)\b(?:tel|tél|telefon|phone|call|text|mobile|mobil|cell|fax|forwards|ring|dial|ask|appeler|llamar|teléfono|téléphone|erreichen|rufen|unter|reach|pager|whatsapp|sms|contact)\b")
-OTHER_NUMBERS = re.compile(r"(?i)(?:\b(?:ticket|issue|build|commit|seed|run|trace|span|host|port|version|range|line|lines|histogram|samples|bump|ip|rows|order|invoice|sku|isbn|checksum|hash|plots|pages?|v)\b|#)")
+OTHER_NUMBERS = re.compile(r"(?i)(?:\b(?:ticket|issue|bug|case|build|commit|revision|version|release|page|pages|line|lines|row|rows|port|host|ip|order|invoice|sku|isbn|doi|checksum|hash|size|offset|bytes|count|total|range|from|between|run|job|trace|span|id|v)\b|#)")
 TOP_DOMAINS = {"com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "dev", "app", "ai", "co", "me", "eu", "uk", "us", "ca", "au", "de", "at", "ch", "fr", "be", "es", "it", "nl", "pt", "mx", "ar", "br", "jp", "cn", "in", "example", "test", "invalid", "local", "localhost"}
 # ---- end of fixed values ----
 
 _MARKS = dict.fromkeys(i for i in range(0x300, 0x370))
 _AT = r"(?:\s?@\s?|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{at\}\s?|\s(?:at|arroba)\s)"
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\s?\{dot\}\s?|\s(?:dot|punto|punkt|point)\s)"
-_EMAIL = re.compile(rf"(?i)(?<![\w.+\-@])[a-z0-9_](?:[\w.+\-]*\w)?(?:{_DOT}\w[\w+\-]*)*{_AT}[a-z0-9][a-z0-9\-]*(?:{_DOT}[a-z0-9][a-z0-9\-]*)+(?![\w@])")
+_AT_SIGN = re.compile(rf"(?i){_AT}")
+_HOST = re.compile(rf"(?i)[a-z0-9][a-z0-9\-]*(?:{_DOT}[a-z0-9][a-z0-9\-]*)+(?![\w@])")
+_DOT_BEFORE = re.compile(rf"(?i){_DOT}$")
 _MAY_MAIL = re.compile(r"(?i)[\(\[\{]at[\)\]\}]|\s(?:at|arroba)\s[^\n]{1,80}?(?:\s(?:dot|punto|punkt|point)\s|[\(\[\{]dot)")
 _DIGITS = re.compile(r"(?<![\w.\-/+])(?:\+|\(\+?)?\d[\d ().\-/ ‑]{5,22}\d(?!\w)")
 _PHONES = re.compile(r"(?<![\w.\-/+])(?:(?:\+|00)?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-]?)\d{3}[ .\-]?\d{4}(?![\w\-])|(?<![\w.\-/])(?:\+|00)\d{1,3}(?:[ .\-/]?\(?\d{1,5}\)?){2,6}(?![\w\-])|(?<![\w.\-/+])\(?0\d{1,4}\)?[ /\-]?\d{2,5}(?:[ \-]\d{2,5}){0,4}(?![\w\-])")
-_IDS = re.compile(r"(?<![\w.\-/+])(?:\d{3}([\-. ]?)\d{2}\1\d{4}|[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Za-z]|[A-Za-z]{1,2} ?\d{3}-?\d{4}|[A-Za-z]\d{7,8}[A-Za-z]?|[XYZxyz]?\d{7,8}[\- ]?[A-Za-z]|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?|\d{2} ?\d{3} ?\d{3} ?\d{3}|[A-Za-z]{2}\d{6,7})(?![\w\-])")
+_IDS = re.compile(r"(?<![\w.\-/+])(?:\d{3}([\-. ]?)\d{2}\1\d{4}|[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Za-z]|[A-Za-z]{1,2} ?\d{3}-?\d{4}|[A-Za-z]\d{7,8}[A-Za-z]?|[XYZxyz]?\d{7,8}[\- ]?[A-Za-z]|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?|\d{2} ?\d{3} ?\d{3} ?\d{3}|[A-Za-z]{2}\d{6,7}|[A-Z](?=[A-Z0-9]{7,8}(?!\w))(?=[A-Z]*\d[A-Z]*\d)[A-Z0-9]{7,8}|\d{2}[A-Z]{2}\d{5})(?![\w\-])")
 _W = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
 _EN_STREET = r"(?:street|st|road|rd|avenue|ave|lane|ln|drive|close|court|ct|crescent|row|terrace|place|boulevard|blvd|way|square|hill|walk|grove|gardens|mews|alley|parade|quay|yard|rise|circle|parkway)"
 _HOUSE = r"\d{1,5} ?[a-z]?(?:[\-/]\d{1,4}[a-z]?)?"
@@ -90,8 +99,8 @@ class NameStats:
         b = max((k for k in range(2, 8) if end[piece[-k:]] >= 3 and k < len(piece)), default=0)
         return min(1.0, (a + b) / len(piece)) if a and b else 0.0
 
-    def of(self, word: str) -> tuple[float, float, float, float, bool, bool, bool]:
-        """(in given, in family, like given, like family, capitalised, all capitals, common word)."""
+    def of(self, word: str) -> tuple[float, float, float, float, bool, bool, bool, bool, bool]:
+        """(in given, in family, like given, like family, capitalised, all capitals, common word, may be part of a name, may begin one)."""
         known = self._cache.get(word)
         if known is None:
             f = fold(word)
@@ -100,6 +109,8 @@ class NameStats:
             in_given = float(f in self.given or all(p in self.parts[0][0] for p in pieces))
             in_family = float(f in self.family or all(p in self.parts[1][0] for p in pieces))
             known = (in_given, in_family, like[0], like[1], word[0].isupper(), word.isupper() and len(word) > 1, f in NO_NAMES)
+            may = not known[6] and (known[4] or in_given + in_family > 0 or max(like) >= 0.99)
+            known = (*known, may, may or (len(word) == 1 and word.isupper()) or word in _PARTICLE_WORDS)
             if len(self._cache) < 500_000:
                 self._cache[word] = known
         return known
@@ -215,13 +226,15 @@ def _name_features(text: str, a: int, b: int, form: int, given: tuple, family: t
 
 
 _NO_WORD = (0.0, 0.0, 0.0, 0.0, False, False, False)
+_LINE = re.compile(r"[^\r\n]+")
 
 
 def _names(text: str, stats: NameStats) -> list[tuple[int, int, list[float]]]:
-    tokens = [(m.start(), m.end(), m.group(0)) for m in _TOKEN.finditer(text)]
-    info = [stats.of(t[2]) for t in tokens]
+    tokens = [(*m.span(), m.group()) for m in _TOKEN.finditer(text)]
+    known = stats._cache
+    info = [known.get(t[2]) or stats.of(t[2]) for t in tokens]
     n, out = len(tokens), []
-    may = [not i[6] and (i[4] or i[0] + i[1] > 0 or max(i[2], i[3]) >= 0.99) for i in info]
+    may = [i[7] for i in info]
 
     def evidence(k: int) -> float:
         return max(info[k][:4]) if 0 <= k < n else 0.0
@@ -250,7 +263,7 @@ def _names(text: str, stats: NameStats) -> list[tuple[int, int, list[float]]]:
             return k + p, True
         return (k, False) if may[k] else None
 
-    for i in range(n):
+    for i in [k for k in range(n) if info[k][8]]:
         a, b, word = tokens[i]
         single = len(word) == 1 and word.isupper()
         starts = may[i] or single or (particle(i) > 0)
@@ -298,37 +311,60 @@ def _balanced(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _emails(text: str) -> dict[tuple[int, int], None]:
+    """Spans around every sign or word for @, grown outwards; a spelled-out local part is also tried without its first words."""
+    spans: dict[tuple[int, int], None] = {}
+    for m in _AT_SIGN.finditer(text):
+        host = _HOST.match(text, m.end())
+        if not host:
+            continue
+        starts, at = [], m.start()
+        while True:
+            run = at
+            while run and (text[run - 1].isalnum() or text[run - 1] in "_.+-"):
+                run -= 1
+            while run < at and not (text[run].isalnum() or text[run] == "_"):
+                run += 1
+            if run == at or (run and text[run - 1] == "@"):
+                break
+            starts.append(run)
+            dot = _DOT_BEFORE.search(text, max(0, run - 12), run)
+            if not dot or dot.group() == ".":
+                break
+            at = dot.start()
+        for a in dict.fromkeys([*starts[-2:], *starts[:1]]):
+            spans[(a, host.end())] = None
+    return spans
+
+
 def candidates(text: str, stats: NameStats) -> dict[str, list[tuple[int, int, list[float]]]]:
-    """kind -> (start, end, features) of every candidate span."""
+    """kind -> (start, end, features) of every candidate span. Numbers and addresses are looked for in lines that hold a digit."""
     found: dict[str, list[tuple[int, int, list[float]]]] = {k: [] for k in KINDS}
     if "@" in text or _MAY_MAIL.search(text):
-        at = 0
-        while m := _EMAIL.search(text, at):
-            s = m.group(0)
-            if "@" in s or _MAY_MAIL.search(s):
-                found["email"].append((m.start(), m.end(), _email_features(text, m.start(), m.end())))
-            # the next may begin at a later word of this one
-            rest = re.search(r"\s", s)
-            at = m.start() + rest.end() if rest else m.end()
-    if _DIGIT.search(text):
+        found["email"] = [(a, b, _email_features(text, a, b)) for a, b in _emails(text) if "@" in text[a:b] or _MAY_MAIL.search(text, a, b)]
+    for line in _LINE.finditer(text):
+        start, stop = line.span()
+        if not _DIGIT.search(text, start, stop):
+            continue
         # every digit as 0, and no blank before it: a street word before a number is then one substring
-        tight = _BLANK_ZERO.sub("0", _DIGIT.sub("0", text.lower()))
+        tight = _BLANK_ZERO.sub("0", _DIGIT.sub("0", line.group().lower()))
         spans = {}
-        for pattern in (_DIGITS, _PHONES):
-            for m in pattern.finditer(text):
+        many = tight.count("0") > 5
+        for pattern in (_DIGITS, _PHONES) if many else ():
+            for m in pattern.finditer(text, start, stop):
                 a, b = _balanced(text, m.start(), m.end())
                 if 7 <= sum(c.isdigit() for c in text[a:b]) <= 15:
                     spans[(a, b)] = None
-        found["phone"] = [(a, b, _number_features(text, a, b)) for a, b in spans]
-        found["id_number"] = [(m.start(), m.end(), _number_features(text, m.start(), m.end())) for m in _IDS.finditer(text)]
+        found["phone"] += [(a, b, _number_features(text, a, b)) for a, b in spans]
+        found["id_number"] += [(m.start(), m.end(), _number_features(text, m.start(), m.end())) for m in _IDS.finditer(text, start, stop)] if tight.count("0") > 3 else []
         for form, pattern in enumerate((_ENGLISH, _GERMAN, _FRENCH, _SPANISH)):
             if form == 1 and not any(w + "0" in tight for w in _GERMAN_WORDS):
                 continue
-            for m in pattern.finditer(text):
+            for m in pattern.finditer(text, start, stop):
                 a, b = m.start(), m.end()
                 if form == 2:  # words after the street name may belong to the sentence
                     words = list(_TOKEN.finditer(text, a, b))
-                    while len(words) > 2 and (words[-1].group(0).lower() in NO_NAMES | {"about", "and"} or (words[-1].group(0).islower() and not text[a:b].islower())):
+                    while len(words) > 2 and (words[-1].group(0).lower() in NO_NAMES | {"about"} or (words[-1].group(0).islower() and not text[a:b].islower())):
                         words.pop()
                     b = words[-1].end()
                 found["address"].append((a, b, _address_features(text, a, b, form)))

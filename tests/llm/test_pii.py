@@ -1,4 +1,7 @@
 import random
+import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,15 +32,21 @@ def test_boosting_learns_and_calibrates():
 
 def test_held_out_accuracy(detector):
     s = Sampler(GIVEN, FAMILY, 4711)
-    hit, made, true = (dict.fromkeys(pii.KINDS, 0) for _ in range(3))
+    listed = {w.lower() for n in GIVEN + FAMILY for w in n.split()}
+    hit, made, true = Counter(), Counter(), Counter()
     for _ in range(300):
         text, spans = s.document()
         got = {x[:3] for x in detector.spans(text)}
-        for k in pii.KINDS:
-            g, w = {x for x in got if x[2] == k}, {x for x in spans if x[2] == k}
-            hit[k], made[k], true[k] = hit[k] + len(g & w), made[k] + len(g), true[k] + len(w)
+        for x in got | set(spans):
+            words = [w for w in re.findall(r"[^\W\d_]{2,}", text[x[0] : x[1]].lower()) if w not in ("von", "der", "van", "de", "la")]
+            kind = x[2] if x[2] != "name" or all(w in listed for w in words) else "name not listed"
+            made[kind] += x in got
+            true[kind] += x in spans
+            hit[kind] += x in got and x in spans
     for k in pii.KINDS:
-        assert hit[k] / made[k] > 0.93 and hit[k] / true[k] > 0.88, (k, hit, made, true)
+        assert hit[k] / made[k] > 0.93 and hit[k] / true[k] > 0.93, (k, hit, made, true)
+    k = "name not listed"
+    assert hit[k] / made[k] > 0.9 and hit[k] / true[k] > 0.8, (k, hit, made, true)
 
 
 @pytest.mark.parametrize(
@@ -86,3 +95,82 @@ def test_candidates_of_random_text_do_not_fail():
         text = "".join(r.choice("aAbZé 0129.,@()[]+-/\n'\"º ｱ​") for _ in range(r.randint(0, 200)))
         for found in candidates(text, stats).values():
             assert all(0 <= a < b <= len(text) for a, b, _ in found)
+
+
+#: sentences by hand, of another make than the training frames; none of the names is on the list
+FRESH = [
+    ("Margaret Thatcher visited the plant in March.", [("name", "Margaret Thatcher")]),
+    ("The minutes were taken by Kenji Watanabe.", [("name", "Kenji Watanabe")]),
+    ("Olga Petrova will join us on Monday.", [("name", "Olga Petrova")]),
+    ("You can speak to Samuel Adeyemi about the lease.", [("name", "Samuel Adeyemi")]),
+    ("Mrs Harriet Cole left her umbrella behind.", [("name", "Harriet Cole")]),
+    ("Please forward this to Bashir, Nadia before noon.", [("name", "Bashir, Nadia")]),
+    ("The drawings came from T. Okonkwo last week.", [("name", "T. Okonkwo")]),
+    ("Frau Annegret Sommer wartet im Foyer.", [("name", "Annegret Sommer")]),
+    ("Die Akte liegt bei Friedhelm Krause.", [("name", "Friedhelm Krause")]),
+    ("Madame Solange Perrin a signé hier.", [("name", "Solange Perrin")]),
+    ("Le dossier est chez Thierry Marchand.", [("name", "Thierry Marchand")]),
+    ("La señora Consuelo Ibarra llegó tarde.", [("name", "Consuelo Ibarra")]),
+    ("Pregunte por Ignacio Beltrán en recepción.", [("name", "Ignacio Beltrán")]),
+    ("Signed: Walter J. Pemberton", [("name", "Walter J. Pemberton")]),
+    ("Yours faithfully,\nDorothy Vance\n", [("name", "Dorothy Vance")]),
+    ("call the clinic at (212) 736-5000 today", [("phone", "(212) 736-5000")]),
+    ("Her mobile is 07700 900123.", [("phone", "07700 900123")]),
+    ("Dial +44 20 7946 0958 for the desk.", [("phone", "+44 20 7946 0958")]),
+    ("Sie erreichen die Praxis unter 030 901820.", [("phone", "030 901820")]),
+    ("Appelez le 01 42 68 53 00 avant midi.", [("phone", "01 42 68 53 00")]),
+    ("Llame al +34 912 345 678.", [("phone", "+34 912 345 678")]),
+    ("Fax: +1 415-555-2671", [("phone", "+1 415-555-2671")]),
+    ("My passport is C01X00T47, valid for ten years.", [("id_number", "C01X00T47")]),
+    ("Social security number: 078-05-1120", [("id_number", "078-05-1120")]),
+    ("Mi DNI es 12345678Z.", [("id_number", "12345678Z")]),
+    ("national insurance QQ 12 34 56 C", [("id_number", "QQ 12 34 56 C")]),
+    ("Steuer-ID 86 095 742 719", [("id_number", "86 095 742 719")]),
+    ("NIE X1234567L caducado", [("id_number", "X1234567L")]),
+    ("The hotel is at 55 rue du Faubourg Saint-Honoré, Paris.", [("address", "55 rue du Faubourg Saint-Honoré")]),
+    ("She moved to 221b Baker Street.", [("address", "221b Baker Street")]),
+    ("Send the keys to 1600 Pennsylvania Avenue, Washington.", [("address", "1600 Pennsylvania Avenue")]),
+    ("Das Büro liegt in der Friedrichstraße 43, Berlin.", [("address", "Friedrichstraße 43")]),
+    ("Wir wohnen Am Markt 7.", []),
+    ("Vivimos en Calle Mayor 12, Madrid.", [("address", "Calle Mayor 12")]),
+    ("Her home is 14 Acacia Avenue.", [("address", "14 Acacia Avenue")]),
+    ("Write to s.adeyemi@letters.example or call.", [("email", "s.adeyemi@letters.example")]),
+    ("Mail: dorothy (at) vance (dot) example", [("email", "dorothy (at) vance (dot) example")]),
+    ("reach me: info@sommer-bau.de", [("email", "info@sommer-bau.de")]),
+    ("her address, h.cole@post.example.co.uk, bounced", [("email", "h.cole@post.example.co.uk")]),
+    ("Escriba a consuelo.ibarra@correo.example.", [("email", "consuelo.ibarra@correo.example")]),
+    ("The Golden Gate was closed. Heavy Rain fell in New York.", []),
+    ("Version 12.4.1 fixed 3 of 17 defects on 2024-03-19.", []),
+    ("Run npm install @types/node@20.1.0 and git clone git@forge.example:team/app.git.", []),
+    ("We counted 120 400 560 and 7800 files; order 4400128 shipped.", []),
+    ("The Fourier Transform and the Bayes Rule differ.", []),
+]
+
+
+def test_fresh_sentences(detector):
+    hit, true, made = Counter(), Counter(), Counter()
+    for text, want in FRESH:
+        got = {(k, text[a:b]) for a, b, k, _ in detector.spans(text)}
+        true.update(k for k, _ in want)
+        made.update(k for k, _ in got)
+        hit.update(k for k, _ in got & set(want))
+    for kind, least in (("email", 0.9), ("id_number", 0.9), ("address", 0.9), ("phone", 0.85), ("name", 0.4)):
+        assert hit[kind] >= least * true[kind] and hit[kind] >= 0.85 * made[kind], (kind, hit, true, made)
+
+
+def test_fresh_sentences_with_names_of_the_list(detector):
+    r, hit, true = random.Random(5), 0, 0
+    for text, want in FRESH:
+        for kind, found in want:
+            if kind == "name" and ", " not in found and "." not in found:
+                name = f"{r.choice(GIVEN)} {r.choice(FAMILY)}"
+                true += 1
+                hit += any(k == "name" and text.replace(found, name)[a:b] == name for a, b, k, _ in detector.spans(text.replace(found, name)))
+    assert hit >= 0.9 * true, (hit, true)
+
+
+def test_long_dotted_runs_take_linear_time():
+    began = time.time()
+    candidates("a." * 500_000 + "@b.test x", NameStats(set(), set()))
+    candidates("a dot " * 50_000 + "at b dot test", NameStats(set(), set()))
+    assert time.time() - began < 20
