@@ -1,14 +1,14 @@
 """Evaluation texts leaking into training text, by greedy string tiling.
 
-The evaluation items are a stated query set: they are taken in blocks of bounded size, and each block
-is sent to the tasks as a table of seeds, that is, of all runs of min_words words. A document is split
-into words once per block; its seeds are looked up by rolling hash and compared word by word, which
-gives the candidate pairs. For each pair, greedy string tiling marks the longest common run of unmarked
-words, again and again, until no run of min_words is left. The tiles found cover a part of the item;
-reordered passages give several tiles.
+The corpus is read once, whatever the size of the evaluation set, and split into words once. Seeds are
+runs of min_words words. A set of items up to block_bytes is sent to the tasks as a table of seeds, and
+documents are never shuffled. A larger set becomes a table of seeds keyed by two 64-bit hashes; a filter
+of fixed size, in which every seed has a bit, lets the tasks drop the runs of the corpus that are in no
+item, and the rest is joined to the seeds, keys that hold much of them with salt.
 
-Documents are never shuffled, and all words of a text are looked at. The number of passes over the
-corpus is the size of the evaluation set over block_bytes.
+For each pair with a common seed, greedy string tiling marks the longest common run of unmarked words,
+again and again, until no run of min_words is left. The tiles found cover a part of the item; reordered
+passages give several tiles. All words of a text are looked at.
 
 Defined cases: null and empty texts hold no words; items shorter than min_words can't leak; repeated
 items are tiled once; repeated documents are reported each; empty tables give no rows; columns beyond
@@ -21,20 +21,23 @@ import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import checked_join, materialize, spread
 
-#: Text bytes of the evaluation items that are sent to the tasks at once.
+#: Text bytes of the evaluation items up to which all their seeds are sent to the tasks.
 BLOCK_BYTES = 8 << 20
+#: Bits of the filter for larger sets; it is 32 MB whatever their size.
+FILTER_BITS = 1 << 28
 _WORD = re.compile(r"[^\W_]+")
 _DROPPED = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -46,13 +49,13 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _rolling(ids: np.ndarray, m: int) -> np.ndarray:
+def _rolling(ids: np.ndarray, m: int, base: np.uint64 = _BASE) -> np.ndarray:
     """Hash of every run of m words."""
     n = len(ids) - m + 1
     h = np.zeros(max(n, 0), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(m):
-            h = h * _BASE + ids[j : j + n].astype(np.uint64)
+            h = h * base + ids[j : j + n].astype(np.uint64)
             h ^= h >> np.uint64(29)
     return h
 
@@ -141,17 +144,72 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = 8, block_byte
     spark = documents.sparkSession
     texts = items.select("item_id", "text").where("text IS NOT NULL").dropDuplicates()
     size = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    blocks = max(1, -(-size // block_bytes))
     # ids travel through Python as text, which keeps every digit
     rows = spread(documents.select(F.col("doc_id").cast("string"), "text").where("text IS NOT NULL"))
-    doc_type, item_type = documents.schema["doc_id"].dataType, items.schema["item_id"].dataType
-    parts = []
-    for b in range(blocks):
-        block = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").collect()
+    if size <= block_bytes:
+        block = texts.orderBy("item_id").collect()
         shared = spark.sparkContext.broadcast(Seeds([(None if r[0] is None else str(r[0]), r[1]) for r in block], min_words))
-        parts.append(rows.mapInPandas(_tiler(shared, min_words), "doc_id string, item_id string, n_tiles int, longest int, covered int, item_words int, coverage double"))
-    found = reduce(DataFrame.unionByName, parts)
-    return found.withColumns({"doc_id": F.col("doc_id").cast(doc_type), "item_id": F.col("item_id").cast(item_type)})
+        found = rows.mapInPandas(_tiler(shared, min_words), _FOUND)
+    else:
+        found = _by_join(rows, texts, min_words)
+    return found.withColumns({"doc_id": F.col("doc_id").cast(documents.schema["doc_id"].dataType), "item_id": F.col("item_id").cast(items.schema["item_id"].dataType)})
+
+
+_FOUND = "doc_id string, item_id string, n_tiles int, longest int, covered int, item_words int, coverage double"
+_SEED = "id string, at int, h1 bigint, h2 bigint, n_words int"
+
+
+def _runs(m: int, bits=None):
+    """Rows (id, at, h1, h2, n_words) of the runs of m words of each text, those without a bit in the filter left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for b in batches:
+            out = []
+            for key, text in zip(b["id"], b["text"], strict=True):
+                words = words_of(text)
+                if len(words) < m:
+                    continue
+                for w in words:
+                    if w not in known:
+                        if len(known) > 500_000:
+                            known.clear()
+                        known[w] = xxhash.xxh3_64_intdigest(w)
+                ids = np.array([known.get(w) or xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+                h = _rolling(ids, m)
+                at = np.arange(len(h))
+                if bits is not None:
+                    place = h % np.uint64(FILTER_BITS)
+                    at = np.flatnonzero(bits.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1))
+                if len(at):
+                    out.append(pd.DataFrame({"id": key, "at": at.astype(np.int32), "h1": h[at].view(np.int64), "h2": _rolling(ids, m, _SECOND)[at].view(np.int64), "n_words": np.int32(len(words))}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": [], "at": [], "h1": [], "h2": [], "n_words": []}).astype({"id": str, "at": "int32", "h1": "int64", "h2": "int64", "n_words": "int32"})
+
+    return run
+
+
+def _by_join(rows: DataFrame, texts: DataFrame, m: int) -> DataFrame:
+    """leaks by a filter and a join. A run of words is known by its two hashes, 128 bits."""
+    spark = rows.sparkSession
+    # a row is known by its number and id, as ids may be null or stand twice
+    numbered = lambda df, key: df.select(F.to_json(F.struct(F.monotonically_increasing_id().alias("r"), F.col(key).cast("string").alias("k"))).alias("id"), "text")
+    seeds = materialize(numbered(spread(texts), "item_id").mapInPandas(_runs(m), _SEED), "seeds")
+    # the unsigned hash modulo a power of two is its low bits
+    place = F.col("h1").bitwiseAND(FILTER_BITS - 1)
+    words = seeds.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bits)
+    hits = materialize(numbered(rows, "doc_id").mapInPandas(_runs(m, shared), _SEED), "seed-hits")
+    joined = checked_join(hits.select("id", F.col("at").alias("d"), "h1", "h2"), seeds.select(F.col("id").alias("item_id"), F.col("at").alias("i"), "h1", "h2", "n_words"), ["h1", "h2"], "inner", ["id", "d"])
+
+    def tile(pair: pd.DataFrame) -> pd.DataFrame:
+        found = tiles(pair["d"].to_numpy(np.int64), pair["i"].to_numpy(np.int64), m)
+        n_words, covered = int(pair["n_words"].iloc[0]), sum(t[2] for t in found)
+        return pd.DataFrame([(pair["id"].iloc[0], pair["item_id"].iloc[0], len(found), found[0][2], covered, n_words, covered / n_words)], columns=[c.split()[0] for c in _FOUND.split(", ")])
+
+    key = lambda c: F.get_json_object(c, "$.k").alias(c)
+    return joined.groupBy("id", "item_id").applyInPandas(tile, _FOUND).withColumns({"doc_id": key("doc_id"), "item_id": key("item_id")})
 
 
 def _tiler(shared, m: int):

@@ -19,7 +19,6 @@ give no rows; columns beyond those named are ignored.
 from __future__ import annotations
 
 import base64
-import runpy
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +34,16 @@ TOKENIZERS = "/opt/tokenizers"
 GAP = 1 << 15
 #: Documents of one source and length that are ranked in one task, on average.
 RANKED = 20_000
-#: Sources the targets may name; their totals are held by the driver.
-MOST_SOURCES = 100_000
+#: How the public byte-pair vocabularies split a text into pieces, as published with them.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _vocabulary(folder: str, name: str) -> tuple[str, dict[bytes, int]]:
+def _vocabulary(folder: str, name: str) -> dict[bytes, int]:
     with open(f"{folder}/{name}", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return runpy.run_path(f"{folder}/__init__.py")["PATTERN"], ranks
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
+def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken", keep: tuple[str, ...] = ("doc_id", "source"), pattern: str = PATTERN) -> DataFrame:
     """(keep.., tokens): the tokens of each whole text under a public byte-pair vocabulary, 0 for null."""
     spark: SparkSession = documents.sparkSession
     shared = spark.sparkContext.broadcast(_vocabulary(folder, name))
@@ -53,8 +51,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "by
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        pattern, ranks = shared.value
-        coder = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        coder = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
         for b in batches:
             out = b[list(keep)]
             yield out.assign(tokens=[len(coder.encode_ordinary(t)) if t else 0 for t in b["text"]])
@@ -106,20 +103,14 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int,
     return take
 
 
-def _plan(totals: list, total_tokens: int | None) -> list[tuple[str, float, int, int, int]]:
-    """(source, share, tokens, passes, rest): whole passes and tokens beyond them, per source that is used."""
-    live = [t for t in totals if t["tokens"] and t["repeats"] > 0 and (t["target_share"] or 0) > 0]
-    whole = sum(t["target_share"] for t in live)
-    if not live:
-        return []
-    most = min(t["tokens"] * t["repeats"] * whole / t["target_share"] for t in live)
-    size = most if total_tokens is None else total_tokens
-    out = []
-    for t in live:
-        share = t["target_share"] / whole
-        budget = min(t["tokens"] * t["repeats"], int(round(size * share)))
-        out.append((t["source"], share, t["tokens"], budget // t["tokens"], budget % t["tokens"]))
-    return out
+def _plan(totals: DataFrame, total_tokens: int | None) -> DataFrame:
+    """(source, passes, rest): whole passes and tokens beyond them, per source that is used; two sums go to the driver."""
+    live = totals.where("tokens > 0 AND repeats > 0 AND target_share > 0")
+    room = F.col("tokens").cast("double") * F.col("repeats")
+    whole, least = live.agg(F.sum("target_share"), F.min(room / F.col("target_share"))).first()
+    size = (least or 0.0) * (whole or 0.0) if total_tokens is None else float(total_tokens)
+    budget = F.least(F.col("tokens") * F.col("repeats"), F.rint(F.lit(size) * (F.col("target_share") / F.lit(whole or 1.0))).cast("bigint"))
+    return live.select("source", budget.alias("budget"), "tokens").select("source", F.expr("budget div tokens").alias("passes"), (F.col("budget") % F.col("tokens")).alias("rest"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -131,22 +122,22 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     the mixture, the largest that keeps the shares if None; a source that can't fill its budget then
     gives all it may. sized: doc_id, source, tokens, if they are counted already.
     """
-    spark = documents.sparkSession
     sized = materialize(token_counts(documents) if sized is None else sized, "sized")
     goal = targets.select("source", "target_share", F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("repeats")).where("source IS NOT NULL")
     per_length = sized.where("tokens > 0 AND source IS NOT NULL").groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n"))
     lengths = materialize(per_length, "lengths")
-    totals = goal.join(lengths.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("tokens")), "source", "left").limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES or len({t["source"] for t in totals}) < len(totals):
-        raise ValueError("the targets name a source twice, or too many")
-    plan = spark.createDataFrame(_plan(totals, total_tokens), "source string, share double, source_tokens bigint, passes bigint, rest bigint")
+    sums = lengths.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("tokens"))
+    totals = materialize(goal.join(sums, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))), "totals")
+    if totals.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("the targets name a source twice")
+    plan = _plan(totals, total_tokens)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("tokens")
         take = fit_lengths(rows["tokens"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), int(rows["rest"].iloc[0]), seed)
         return rows[["source", "tokens", "n", "passes"]].assign(take=take)
 
-    fitted = lengths.join(F.broadcast(plan), "source").groupBy("source").applyInPandas(fit, "source string, tokens bigint, n bigint, passes bigint, take bigint")
+    fitted = checked_join(lengths, plan, ["source"]).groupBy("source").applyInPandas(fit, "source string, tokens bigint, n bigint, passes bigint, take bigint")
     quotas = materialize(fitted.withColumn("buckets", F.ceil(F.col("n") / RANKED)), "quotas")
     order = F.xxhash64(F.lit(seed), "doc_id")
     rows = checked_join(sized, quotas, ["source", "tokens"], "inner", ["doc_id"]).withColumn("_h", order)
@@ -165,7 +156,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     chosen = marked.where("_extra IS NOT NULL").select("doc_id", "source", "tokens", uses).unionByName(edge.select("doc_id", "source", "tokens", uses)).where("uses > 0")
     mixed = quotas.groupBy("source").agg(F.sum(F.col("tokens") * (F.col("n") * F.col("passes") + F.col("take"))).alias("mixed_tokens"))
     whole = mixed.agg(F.sum("mixed_tokens")).first()[0] or 0
-    available = spark.createDataFrame([(t["source"], t["target_share"], t["repeats"], t["tokens"] or 0) for t in totals], "source string, target_share double, max_repeats bigint, available_tokens bigint")
+    available = totals.select("source", "target_share", F.col("repeats").cast("bigint").alias("max_repeats"), F.col("tokens").alias("available_tokens"))
     reached = F.coalesce("mixed_tokens", F.lit(0))
     shares = available.join(mixed, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", reached.alias("mixed_tokens"), F.when(F.lit(whole > 0), reached / F.lit(float(whole or 1))).otherwise(0.0).alias("actual_share"))
     return chosen, shares

@@ -148,3 +148,10 @@ def found_in(redacted: DataFrame) -> DataFrame:
     """(doc_id, kind, found_text): each distinct text found, per document and kind; doc_id is unique."""
     distinct = F.array_distinct(F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["found_text"].alias("found_text"))))
     return redacted.select("doc_id", F.explode(distinct).alias("f")).select("doc_id", "f.kind", "f.found_text")
+
+
+def restored(redacted: DataFrame) -> DataFrame:
+    """(doc_id, text): redacted texts with what was found put back; as the spans stand in order, each is at its old place when its turn comes."""
+    marks = F.create_map(*[F.lit(x) for k, m in PLACEHOLDERS.items() for x in (k, len(m))])
+    put = lambda text, f: F.concat(F.substring(text, F.lit(1), f["at"]), f["found_text"], F.substr(text, f["at"] + 1 + F.try_element_at(marks, f["kind"])))
+    return redacted.select("doc_id", F.aggregate("found", F.col("text"), put).alias("text"))

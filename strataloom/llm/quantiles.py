@@ -1,17 +1,20 @@
 """Percentiles with bounded error that merge: quantile digests over a dyadic tree.
 
-Values are quantised to an ordered universe of 2^18 codes, exact for integers up to 4095 and within
-1/2048 of the value beyond. A digest is a set of tree nodes with counts, where the root is node 1 and
-the leaf of a code is 2^18 + code. Compression moves counts of sparse siblings to their parent as long
-as no inner node exceeds n / k; merging adds the counts of equal nodes. Whatever the merges, the rank
-of a reported value is wrong by at most error * n, which is not a matter of chance.
-
-Leaf counts are aggregated by Spark before a digest is built, so a group reaches a task as at most
-2^18 counts, however many rows it has.
-
-Defined cases: null and NaN values are not counted; a null group is a group; a group without values
-gives no digest; infinities take the outermost codes; an empty table gives no rows; columns beyond
-those named are ignored.
+The universe is every double in order: its 64 bits, with the sign turned, are the leaf of a value. A
+digest is a set of tree nodes (level, prefix of so many bits) with counts; the root has level 0, a
+leaf level 64. Compression moves counts of sparse siblings to their parent as long as no inner node
+exceeds n / k; merging adds the counts of equal nodes. Whatever the merges, a reported value has a
+rank within error * n of the asked one, which is not a matter of chance and holds for numbers of any
+size: a value that many rows share keeps a leaf of its own.
+
+Counts per distinct value are aggregated by Spark before a digest is built. A group of more distinct
+values than a task should hold is cut by hash into parts, each is compressed, and the parts are added
+and compressed again, in as many rounds as it takes.
+
+Defined cases: numbers are compared as doubles, so that integers beyond 2^53 that share a double are
+one value; null and NaN values are not counted; a null group is a group; a group without values gives
+no digest; infinities are values; -0.0 is 0.0; an empty table gives no rows; columns beyond those
+named are ignored.
 """
 
 from __future__ import annotations
@@ -22,86 +25,91 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HALF = 17
-LEVELS = HALF + 1
-_EXACT = 11
+from ..runtime import discard, materialize
 
+LEVELS = 64
+#: Nodes of one group that a task compresses at once.
+MOST_NODES = 1 << 20
+_SIGN = np.uint64(1 << 63)
 
-def code_of(value: Column, scale: int = 1) -> Column:
-    """The universe code of a numeric column; scale: steps per unit for values that are not integers."""
-    top = float(1 << 62)
-    d = F.nullif(value.cast("double"), F.lit(float("nan"))) * scale
-    x = F.when(d.isNotNull(), F.greatest(F.lit(-top), F.least(F.lit(top), F.rint(d))).cast("bigint"))
-    size = F.when(x >= 0, x).otherwise(-(x + 1))
-    shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int") - _EXACT)
-    code = shift * (1 << _EXACT) + F.call_function("shiftright", size, shift)
-    return F.when(x >= 0, code + (1 << HALF)).otherwise((1 << HALF) - 1 - code).cast("int")
 
+def codes_of(value: np.ndarray) -> np.ndarray:
+    """The leaf of each double, as an unsigned number in the order of the values."""
+    bits = (np.asarray(value, np.float64) + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
 
-def values_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest integer of each code."""
-    code = np.asarray(code, dtype=np.int64)
-    positive = code >= (1 << HALF)
-    c = np.where(positive, code - (1 << HALF), (1 << HALF) - 1 - code)
-    shift = np.maximum(0, (c >> _EXACT) - 1)
-    low = (c - (shift << _EXACT)) << shift
-    high = low + (np.int64(1) << shift) - 1
-    return np.where(positive, low, -high - 1), np.where(positive, high, -low - 1)
 
+def values_of(code: np.ndarray) -> np.ndarray:
+    """The double of each leaf."""
+    code = np.asarray(code, np.uint64)
+    return np.where(code & _SIGN, code ^ _SIGN, ~code).view(np.float64)
 
-def compress(node: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _families(prefix: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct parents of sorted prefixes, the place of each prefix among them, and their sums."""
+    parent = prefix >> np.uint64(1)
+    first = np.concatenate([[True], parent[1:] != parent[:-1]])
+    place = np.cumsum(first) - 1
+    return parent[first], place, np.bincount(place, count, int(place[-1]) + 1).astype(np.int64)
+
+
+def compress(level: np.ndarray, prefix: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The digest with counts moved up from the leaves wherever a family holds at most n // k."""
     most = int(count.sum()) // k
-    order = np.argsort(node, kind="stable")
-    node, count = node[order], count[order]
+    order = np.lexsort((prefix, level))
+    level, prefix, count = level[order], prefix[order], count[order]
     if most == 0:
-        return node, count
-    starts = np.searchsorted(node, [1 << d for d in range(LEVELS + 2)])
-    at = lambda d: (node[starts[d] : starts[d + 1]], count[starts[d] : starts[d + 1]])
-    kept_n, kept_c = [], []
-    ids, own = at(LEVELS)
+        return level, prefix, count
+    starts = np.searchsorted(level, np.arange(LEVELS + 2))
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    ids, own = prefix[starts[LEVELS] :], count[starts[LEVELS] :]
     for d in range(LEVELS, 0, -1):
-        above, above_c = at(d - 1)
-        if len(ids):
-            parent, family = np.unique(ids >> 1, return_inverse=True)
-            total = np.bincount(family, own, len(parent)).astype(np.int64)
-            where = np.searchsorted(above, parent)
-            known = (where < len(above)) & (above[np.minimum(where, len(above) - 1)] == parent) if len(above) else np.zeros(len(parent), bool)
-            there = np.where(known, above_c[np.minimum(where, len(above) - 1)] if len(above) else 0, 0)
-            moves = total + there <= most
-            stays = ~moves[family]
-            kept_n.append(ids[stays])
-            kept_c.append(own[stays])
-            ids, inverse = np.unique(np.concatenate([above, parent[moves]]), return_inverse=True)
-            own = np.bincount(inverse, np.concatenate([above_c, total[moves]]), len(ids)).astype(np.int64)
-        else:
+        above, above_c = prefix[starts[d - 1] : starts[d]], count[starts[d - 1] : starts[d]]
+        if not len(ids):
             ids, own = above, above_c
-    return np.concatenate([*kept_n, ids]).astype(np.int64), np.concatenate([*kept_c, own]).astype(np.int64)
-
-
-def read_quantile(node: np.ndarray, count: np.ndarray, probs: list[float]) -> tuple[np.ndarray, int]:
-    """The codes at the given shares of the ranks, and the number of values."""
-    depth = np.floor(np.log2(node)).astype(np.int64)
-    right = ((node + 1) << (LEVELS - depth)) - 1 - (1 << LEVELS)
-    order = np.lexsort((-depth, right))
+            continue
+        parent, place, total = _families(ids, own)
+        at = np.minimum(np.searchsorted(above, parent), max(len(above) - 1, 0))
+        there = np.where(above[at] == parent, above_c[at], 0) if len(above) else np.zeros(len(parent), np.int64)
+        moves = total + there <= most
+        stays = ~moves[place]
+        if stays.any():
+            kept.append((np.full(int(stays.sum()), d), ids[stays], own[stays]))
+        both, both_c = np.concatenate([above, parent[moves]]), np.concatenate([above_c, total[moves]])
+        ids, inverse = np.unique(both, return_inverse=True)
+        own = np.bincount(inverse, both_c, len(ids)).astype(np.int64)
+    kept.append((np.zeros(len(ids), np.int64), ids, own))
+    return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+
+
+def read_quantile(level: np.ndarray, prefix: np.ndarray, count: np.ndarray, probs: list[float]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Least and greatest leaf of the node at the given shares of the ranks, and the number of values."""
+    shift = np.minimum(LEVELS - level, 63).astype(np.uint64)
+    whole = level == 0
+    low = np.where(whole, np.uint64(0), prefix << shift)
+    high = np.where(whole, ~np.uint64(0), low + ((np.uint64(1) << shift) - np.uint64(1)))
+    order = np.lexsort((-level, high))
     total = np.cumsum(count[order])
     rank = np.maximum(1, np.ceil(np.asarray(probs) * total[-1]))
-    return right[order][np.searchsorted(total, rank)], int(total[-1])
+    at = order[np.searchsorted(total, rank)]
+    return low[at], high[at], int(total[-1])
 
 
-def _by_group(df: DataFrame, keys: list[str], run: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], out: dict[str, str]) -> DataFrame:
-    """(keys.., out..) of run(nodes, counts) per group.
+def _by_group(df: DataFrame, keys: list[str], run: Callable[[np.ndarray, np.ndarray, np.ndarray, bool], dict[str, np.ndarray]], out: dict[str, str]) -> DataFrame:
+    """(keys.., out..) of run(levels, prefixes, counts, whole) per group.
 
     Groups arrive sorted, many in a batch, so that small groups cost no call each. Keys travel as text.
     """
     types = {k: df.schema[k].dataType for k in keys}
-    marked = df.select(F.to_json(F.struct(*keys)).alias("_g"), *[F.col(k).cast("string").alias(k) for k in keys], "node", "node_count")
+    marked = df.select(F.to_json(F.struct(*keys)).alias("_g"), *[F.col(k).cast("string").alias(k) for k in keys], F.col("whole").alias("_whole"), F.col("node_level").cast("bigint").alias("node_level"), "node", "node_count")
     names = [*keys, *out]
 
     def groups(b: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        node, count = b["node"].to_numpy(np.int64), b["node_count"].to_numpy(np.int64)
-        made = [run(node[i:j], count[i:j]) for i, j in zip(starts, [*starts[1:], len(b)], strict=True)]
+        level, node, count = b["node_level"].to_numpy(np.int64), b["node"].to_numpy(np.int64).view(np.uint64), b["node_count"].to_numpy(np.int64)
+        whole = b["_whole"].to_numpy(bool)
+        made = [run(level[i:j], node[i:j], count[i:j], bool(whole[i])) for i, j in zip(starts, [*starts[1:], len(b)], strict=True)]
         rows = np.repeat(starts, [len(m[next(iter(out))]) for m in made])
         columns = {k: b[k].to_numpy()[rows] for k in keys} | {c: np.concatenate([m[c] for m in made]) for c in out}
         return pd.DataFrame(columns, columns=names)
@@ -126,43 +134,98 @@ def _by_group(df: DataFrame, keys: list[str], run: Callable[[np.ndarray, np.ndar
 
 
 def _compressed(nodes: DataFrame, group: list[str], k: int) -> DataFrame:
-    def one(node: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
-        return dict(zip(("node", "node_count"), compress(node, count, k), strict=True))
-
-    return _by_group(nodes, group, one, {"node": "bigint", "node_count": "bigint"})
+    """Each group compressed once; a task gets the nodes of a group, or of a part of it beyond MOST_NODES."""
+    keys = [*group, "whole"]
+    counts = F.sum("node_count").alias("node_count")
+    nodes = materialize(nodes, "digest-nodes")
+
+    def one(level: np.ndarray, prefix: np.ndarray, count: np.ndarray, _: bool) -> dict[str, np.ndarray]:
+        level, prefix, count = compress(level, prefix, count, k)
+        return {"node_level": level, "node": prefix.view(np.int64), "node_count": count}
+
+    out = {"node_level": "bigint", "node": "bigint", "node_count": "bigint"}
+    while True:
+        most = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= MOST_NODES:
+            return _by_group(nodes, keys, one, out)
+        parts = -(-most // MOST_NODES)
+        part = nodes.withColumn("_part", F.pmod(F.xxhash64("node_level", "node"), F.lit(parts)).cast("int"))
+        smaller = materialize(_by_group(part, [*keys, "_part"], one, out).groupBy(*keys, "node_level", "node").agg(counts), "digest-nodes")
+        if smaller.count() >= nodes.count():  # what is left can't be moved up
+            return smaller
+        discard(nodes)
+        nodes = smaller
 
 
 def _k(error: float) -> int:
     return int(np.ceil(LEVELS / error))
 
 
-def digests(df: DataFrame, group: list[str], measures: dict[str, Column | str], error: float = 0.005, scale: int = 1) -> DataFrame:
-    """(group.., measure, node, node_count): a digest per group and measure, in long form."""
-    # the codes are computed after the explode, where they are part of the generated code
-    values = F.array(*[F.struct(F.lit(name).alias("measure"), (F.expr(c) if isinstance(c, str) else c).cast("double").alias("_x")) for name, c in measures.items()])
-    long = df.select(*group, F.explode(values).alias("_v")).select(*group, "_v.measure", F.col("_v._x").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
-    long = long.select(*group, "measure", code_of(F.col("_x"), scale).alias("code"))
-    leaves = long.groupBy(*group, "measure", "code").agg(F.count(F.lit(1)).alias("node_count"))
-    leaves = leaves.select(*group, "measure", (F.col("code") + (1 << LEVELS)).cast("bigint").alias("node"), "node_count")
-    return _compressed(leaves, [*group, "measure"], _k(error))
+def digests(df: DataFrame, group: list[str], measures: dict[str, Column | str], error: float = 0.005) -> DataFrame:
+    """(group.., measure, whole, node_level, node, node_count): a digest per group and measure, in long form.
+
+    whole: the measure is of an integer type, so that reported values are whole numbers.
+    """
+    columns = {name: F.expr(c) if isinstance(c, str) else c for name, c in measures.items()}
+    types = df.select(*[c.alias(n) for n, c in columns.items()]).schema
+    entry = lambda n, c: F.struct(F.lit(n).alias("measure"), F.lit(isinstance(types[n].dataType, T.IntegralType)).alias("whole"), c.cast("double").alias("_x"))
+    long = df.select(*group, F.explode(F.array(*[entry(n, c) for n, c in columns.items()])).alias("_v")).select(*group, "_v.*").where("_x IS NOT NULL AND NOT isnan(_x)")
+    counted = long.groupBy(*group, "measure", "whole", "_x").agg(F.count(F.lit(1)).alias("node_count"))
+    return _compressed(_leaves(counted), [*group, "measure"], _k(error))
+
+
+def _leaves(counted: DataFrame) -> DataFrame:
+    """Distinct values with counts as leaves of the tree."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns="_x").assign(node=codes_of(b["_x"].to_numpy(np.float64)).view(np.int64))
+
+    keys = [f for f in counted.schema.fields if f.name not in ("_x", "node_count")]
+    fields = T.StructType([T.StructField(f.name, T.StringType() if f.name != "whole" else f.dataType) for f in keys] + [T.StructField("node_count", T.LongType()), T.StructField("node", T.LongType())])
+    asked = counted.select(*[F.col(f.name).cast("string").alias(f.name) if f.name != "whole" else F.col(f.name) for f in keys], "node_count", "_x")
+    done = asked.mapInPandas(run, fields)
+    return done.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in keys], F.lit(LEVELS).alias("node_level"), "node", "node_count")
 
 
 def merge(parts: DataFrame, group: list[str], error: float = 0.005) -> DataFrame:
     """Digests of coarser groups (group is some of the group columns of parts), by adding the counts of equal nodes."""
-    added = parts.groupBy(*group, "measure", "node").agg(F.sum("node_count").alias("node_count"))
+    added = parts.groupBy(*group, "measure", "whole", "node_level", "node").agg(F.sum("node_count").alias("node_count"))
     return _compressed(added, [*group, "measure"], _k(error))
 
 
 def percentiles(parts: DataFrame, group: list[str], probs: list[float], error: float = 0.005) -> DataFrame:
     """(group.., measure, p, value, value_low, n, max_rank_error) of each digest.
 
-    value is the greatest value of the bucket found, value_low the least.
+    value is the greatest value of the node found, value_low the least.
     """
     keys = [*group, "measure"]
 
-    def one(node: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
-        code, n = read_quantile(node, count, probs)
-        low, high = values_of(code)
+    def one(level: np.ndarray, prefix: np.ndarray, count: np.ndarray, whole: bool) -> dict[str, np.ndarray]:
+        low, high, n = read_quantile(level, prefix, count, probs)
+        low, high = values_of(low), values_of(high)
+        # the codes beyond the infinities are no numbers
+        low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+        if whole:
+            low, high = np.ceil(low), np.floor(high)
         return {"p": np.array(probs, float), "value": high, "value_low": low, "n": np.full(len(probs), n), "max_rank_error": np.full(len(probs), int(error * n))}
 
-    return _by_group(parts, keys, one, {"p": "double", "value": "bigint", "value_low": "bigint", "n": "bigint", "max_rank_error": "bigint"})
+    return _by_group(parts, keys, one, {"p": "double", "value": "double", "value_low": "double", "n": "bigint", "max_rank_error": "bigint"})
+
+
+def true_ranks(df: DataFrame, found: DataFrame, group: list[str], measures: dict[str, Column | str]) -> DataFrame:
+    """(group.., measure, p, n, rank_low, rank_high, within): the true ranks of reported values, counted over df.
+
+    rank_low rows are below value, rank_high at most value; within: the asked rank is no further from
+    that range than max_rank_error. A group's few reported values are one row that the rows are counted against.
+    """
+    entry = lambda n, c: F.struct(F.lit(n).alias("measure"), (F.expr(c) if isinstance(c, str) else c).cast("double").alias("_x"))
+    long = df.select(*group, F.explode(F.array(*[entry(n, c) for n, c in measures.items()])).alias("_v")).select(*group, "_v.*").where("_x IS NOT NULL AND NOT isnan(_x)")
+    counted = long.groupBy(*group, "measure", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    keys = [*group, "measure"]
+    safe = lambda d: d.select("*", F.to_json(F.struct(*keys)).alias("_key"))
+    asked = safe(found).groupBy("_key").agg(F.collect_list(F.struct("p", "value", "n", "max_rank_error")).alias("_asked"), *[F.first(k).alias(k) for k in keys])
+    joined = safe(counted).select("_key", "_x", "_c").join(asked, "_key").select(*keys, "_x", "_c", F.explode("_asked").alias("_a")).select(*keys, "_a.*", "_x", "_c")
+    ranks = joined.groupBy(*keys, "p", "value", "n", "max_rank_error").agg(F.sum(F.when(F.col("_x") < F.col("value"), F.col("_c")).otherwise(0)).alias("rank_low"), F.sum(F.when(F.col("_x") <= F.col("value"), F.col("_c")).otherwise(0)).alias("rank_high"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n")))
+    return ranks.select(*keys, "p", "n", "rank_low", "rank_high", ((rank >= F.col("rank_low") + 1 - F.col("max_rank_error")) & (rank <= F.col("rank_high") + F.col("max_rank_error"))).alias("within"))

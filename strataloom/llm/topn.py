@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_BYTES, checked_join, materialize
+from ..runtime import BROADCAST_BYTES, checked_join, discard, materialize
 
 #: share of the rows that lies in the bands down to each edge; the last band holds the rest
 BAND_SHARES = (1 / 64, 1 / 16, 1 / 4)
@@ -30,11 +30,15 @@ def band_edges(df: DataFrame, score: str, shares: tuple[float, ...] = BAND_SHARE
     return sorted({x for x in found or [] if x == x}, reverse=True)
 
 
-def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(group.., score, ties..) of the n rows of each group with the highest score, equal scores by ties ascending."""
+def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int, limit_bytes: int = BROADCAST_BYTES, edges: list[float] | None = None) -> DataFrame:
+    """(group.., score, ties..) of the n rows of each group with the highest score, equal scores by ties ascending.
+
+    edges: the lower edges of the bands from the top, found by band_edges(df) if None. They steer the
+    work only, so those of a table that df comes from do as well and spare computing df twice.
+    """
     columns = list(dict.fromkeys([*group, score, *ties]))
     rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*group, score]])).select(*columns)
-    edges = band_edges(rows, score)
+    edges = band_edges(rows, score) if edges is None else edges
     band = F.lit(len(edges))
     for i, e in reversed(list(enumerate(edges))):
         band = F.when(F.col(score).cast("double") >= e, i).otherwise(band)
@@ -48,6 +52,9 @@ def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int,
             part = checked_join(part, have.where(F.col("_have") >= n).select(*group), group, "left_anti", columns, limit_bytes)
         ranked = part.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
         if done:
-            ranked = ranked.join(have, group, "left").where(F.col("_rank") + F.coalesce("_have", F.lit(0)) <= n)
+            ranked = checked_join(ranked, have.where(F.col("_have") < n), group, "left", columns, limit_bytes).where(F.col("_rank") + F.coalesce("_have", F.lit(0)) <= n)
         done.append(materialize(ranked.select(*columns), "band-top"))
+        if len(done) > 1:
+            discard(have)
+    discard(banded)
     return reduce(DataFrame.unionByName, done)

@@ -11,6 +11,8 @@ from strataloom.llm.boosting import calibrate, fit
 from strataloom.llm.pii_candidates import NameStats, candidates
 from strataloom.llm.pii_sample import Sampler
 
+from ..conftest import rows
+
 GIVEN = ["Brala", "Corvek", "Delric", "Jorina", "Kalia", "Mirna", "Osktte", "Pelya", "Quinsa", "Tavla", "Vesric", "Zanya", "Brana", "Corlin", "Delwen", "Jorsa"]
 FAMILY = ["Alderholm", "Brimcombe", "Dunfeld", "Eskgarth", "Haskwick", "Kestthwaite", "Norsden", "Quarrby", "Thornlow", "Vintberg", "Wexmere", "Yarrsen", "Alderden", "Brimfeld", "van Duncombe"]
 NAMES = [(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY]
@@ -85,6 +87,7 @@ def test_redaction_keeps_the_rest(spark, monkeypatch):
     assert got[2**60 + 1] == "nothing here. " * 20_000 + "Call [PHONE] if it hangs." and got[None] == "Dr. [NAME] wrote the first draft."
     found = [tuple(r) for r in pii.found_in(redacted).collect()]
     assert found.count((4, "name", "Tavla Wexmere")) == 1 and found.count((None, "name", "Kalia Quarrby")) == 2
+    assert rows(pii.restored(redacted)) == rows(d.select("doc_id", "text"))
     assert pii.redact(d.limit(0), names).count() == 0
     assert pii.redact(d, names.limit(0), sample=300).count() == len(docs)
 
