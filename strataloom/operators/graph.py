@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..runtime import checked_join, materialize
+from ..runtime import checked_join, discard, materialize
 
 #: Modules a layout may have: one task holds all pairs.
 MOST_NODES = 5000
@@ -55,13 +55,15 @@ def cycle_members(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     different labels are cut, and the two steps repeat until nothing is cut. What has an edge within
     its label then is on one. An error is raised if max_rounds do not suffice.
     """
-    rest = materialize(edges.select("src", "dst").distinct(), "cycle")
+    whole = rest = materialize(edges.select("src", "dst").distinct(), "cycle")
     loops = rest.where("src = dst").select(F.col("src").alias("module"))
     size = rest.count()
     for _ in range(max_rounds):
         while size:
             trimmed = materialize(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cycle")
             n, before = trimmed.count(), size
+            if rest is not whole:
+                discard(rest)
             rest, size = trimmed, n
             if 10 * (before - n) < before:
                 break
@@ -94,6 +96,7 @@ def _spread(edges: DataFrame, source: str, target: str, max_rounds: int) -> Data
         jumped = checked_join(moved.select("module", F.col("label.name").alias("_s")), moved.select(F.col("module").alias("_s"), "label"), ["_s"], spread_by=["module"]).select("module", "label")
         new = materialize(label.unionByName(sent).unionByName(jumped).groupBy("module").agg(F.max("label").alias("label")), "labels")
         changed = new.join(label.withColumnRenamed("label", "_old"), "module").where("label <> _old").limit(1).count()
+        discard(label)
         label = new
         if not changed:
             return label

@@ -122,18 +122,17 @@ def metadata_diagnostics(meta: DataFrame, layout: Layout = Layout()) -> DataFram
 
 def repository_diagnostics(tree: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Layout of the roots, every package, and a summary row for packages with errors."""
-    spark = tree.sparkSession
     packages = discover(tree, layout)
     meta = metadata(tree, packages)
     each = structure_diagnostics(tree, packages).unionByName(metadata_diagnostics(meta, layout))
     owner = packages.select(F.col("path").alias("package"))
-    errors = each.where("severity = 'error'").join(F.broadcast(owner), F.startswith(F.concat("path", F.lit("/")), F.concat("package", F.lit("/")))).groupBy("package").agg(F.count(F.lit(1)).alias("n"))
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
+    errors = each.where("severity = 'error' AND path IS NOT NULL").select(F.explode(above).alias("package")).join(owner, "package").groupBy("package").agg(F.count(F.lit(1)).alias("n"))
     failed = _diagnostic(errors, "error", "PACKAGE_VALIDATION_FAILED", F.format_string("package has %d error(s)", "n"), F.col("package"))
     roots = tree.select(*[F.startswith(F.col("path"), F.lit(p + "/")).alias(k) for k, p in (("s", layout.standards), ("e", layout.experiments))]).agg(F.coalesce(F.bool_or("s"), F.lit(False)).alias("s"), F.coalesce(F.bool_or("e"), F.lit(False)).alias("e"))
     no_s = _diagnostic(roots.where("NOT s"), "error", "MISSING_STANDARDS_DIR", F.lit(f"missing directory {layout.standards}"), F.lit(layout.standards))
     no_e = _diagnostic(roots.where("NOT e"), "warning", "MISSING_EXPERIMENTAL_DIR", F.lit(f"missing directory {layout.experiments}"), F.lit(layout.experiments))
     count = _diagnostic(packages.agg(F.count(F.lit(1)).alias("n")), "info", "DISCOVERY_COMPLETE", F.format_string("found %d package(s)", "n"), F.lit(None).cast("string"))
-    del spark
     return reduce(DataFrame.unionByName, [no_s, no_e, count, each, failed])
 
 

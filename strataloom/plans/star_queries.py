@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import coupling, diff, graph, markers, metrics, projectors, rules, slices
 from ..operators.extract import extract_sources
-from ..runtime import materialize, read
+from ..runtime import checked_join, materialize, read
 
 # ---- building blocks -------------------------------------------------------------------------------
 
@@ -24,7 +24,7 @@ def _functions(spark: SparkSession, where: str) -> DataFrame:
     return (
         orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("file"), F.col("n_name").alias("module"), F.col("n_regionkey").alias("region"), F.lit("sql").alias("language"), F.year("o_orderdate").alias("year"), (1 + F.coalesce("n", F.lit(0))).alias("cyclomatic_complexity"), F.coalesce("cog", F.lit(0)).alias("cognitive_complexity"), F.coalesce("loc", F.lit(0)).alias("lines_of_code"))
     )
 
@@ -40,14 +40,16 @@ def _trade(spark: SparkSession, where: str) -> DataFrame:
     lines = read(spark, where, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity")
     orders = read(spark, where, "orders").select("o_orderkey", "o_custkey")
     customer, supplier = read(spark, where, "customer").select("c_custkey", "c_nationkey"), read(spark, where, "supplier").select("s_suppkey", "s_nationkey")
-    ends = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return ends.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), "l_partkey", "l_quantity")
+    # both ends are brought down to a nation before the lines are shuffled, once, by order
+    buyers = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_nationkey").alias("src"))
+    sellers = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
+    return checked_join(lines, sellers, ["l_suppkey"], "inner", ["l_orderkey"]).join(buyers, "l_orderkey").where("src <> dst").select("src", "dst", "l_partkey", "l_quantity")
 
 
 def _named(edges: DataFrame, spark: SparkSession, where: str) -> DataFrame:
     """src and dst as nation names, with their regions."""
     nation = read(spark, where, "nation")
-    side = lambda c: F.broadcast(nation.select(F.col("n_nationkey").alias(c), F.col("n_name").alias(f"_{c}"), F.col("n_regionkey").alias(f"{c}_region")))
+    side = lambda c: nation.select(F.col("n_nationkey").alias(c), F.col("n_name").alias(f"_{c}"), F.col("n_regionkey").alias(f"{c}_region"))
     return edges.join(side("src"), "src").join(side("dst"), "dst").drop("src", "dst").withColumnsRenamed({"_src": "src", "_dst": "dst"})
 
 
@@ -274,7 +276,7 @@ _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 def q23(spark, where):
     c, nation = read(spark, where, "customer"), read(spark, where, "nation")
-    view = c.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("slice"), F.col("c_mktsegment").alias("layer"), F.col("c_acctbal").alias("health"))
+    view = c.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("slice"), F.col("c_mktsegment").alias("layer"), F.col("c_acctbal").alias("health"))
     m = slices.slice_layer_matrix(view, _SEGMENTS)
     return m.select("slice", *[F.col(f"count_{s}") for s in _SEGMENTS], *[_r(f"health_{s}") for s in _SEGMENTS])
 
