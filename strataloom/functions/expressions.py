@@ -395,9 +395,19 @@ def percent_int(c: Column | str) -> Column:
     return F.floor(_c(c) * 100).cast("bigint")
 
 
+def log_scaled(c: Column | str) -> Column:
+    """ln(v + 1)."""
+    return F.log1p(_c(c).cast("double"))
+
+
+def civil_date(epoch_seconds: Column | str) -> Column:
+    """yyyy-mm-dd of seconds since 1970, whatever the session's time zone."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(_c(epoch_seconds) / 86400).cast("int")), "yyyy-MM-dd")
+
+
 def escape_script(c: Column | str) -> Column:
     """Text safe inside a script element."""
-    return F.regexp_replace(F.regexp_replace(_c(c), "(?i)</(script)", r"<\\\\/$1"), "<!--", r"<\\\\!--")
+    return F.regexp_replace(F.regexp_replace(_c(c), "(?i)</(script)", r"<\\/$1"), "<!--", r"<\\!--")
 
 
 def valid_version(c: Column | str, parts: str = "2-3") -> Column:

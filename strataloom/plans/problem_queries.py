@@ -136,6 +136,26 @@ SQL = {
     "p2_found": " UNION ALL ".join(f"SELECT '{t}' AS table_name, module FROM {t} WHERE module IS NOT NULL GROUP BY module HAVING count(*) * 100 >= 4 * (SELECT count(*) FROM {t})" for t in ("code_functions", "call_graph_nodes")),
     "p2_module_totals": "SELECT module, count(*) AS n_rows, " + ", ".join(f"CAST({f}(metrics.{m}) AS BIGINT) AS {f}_{m}" for m in _TOTALS for f in ("sum", "max")) + " FROM code_functions GROUP BY module",
     "p2_module_metrics": "SELECT 'code_functions' AS table_name, module, count(*) AS n_rows, " + ", ".join(f"CAST({f}(metrics.{m}) AS {t}) AS {f}_{m.replace('.', '_')}" for m, t in _ALL_METRICS.items() for f in ("sum", "max")) + " FROM code_functions GROUP BY module UNION ALL BY NAME SELECT 'call_graph_nodes' AS table_name, module, count(*) AS n_rows FROM call_graph_nodes GROUP BY module",
+    "p3_found": """
+WITH RECURSIVE t(repo, artifact, file_no, rec, path, v) AS (
+  SELECT repo, artifact, file_no, record_id, '', CAST(payload AS JSON) FROM raw_artifacts WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'
+  UNION ALL SELECT repo, artifact, file_no, rec, CASE WHEN path = '' THEN k ELSE path || '.' || k END, json_extract(v, '$."' || k || '"') FROM (SELECT *, unnest(json_keys(v)) AS k FROM t WHERE json_type(v) = 'OBJECT')),
+f AS (SELECT repo, artifact, file_no, rec, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+  CASE WHEN json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE json_type(v) || CAST(v AS VARCHAR) END AS val FROM t WHERE path <> '' AND json_type(v) NOT IN ('OBJECT', 'NULL')),
+ids AS (SELECT rec, val AS id FROM f WHERE path = 'id'),
+ty AS (SELECT repo, artifact, file_no, path, arg_max(kind, row(n, CASE kind WHEN 'number' THEN 4 WHEN 'string' THEN 3 WHEN 'boolean' THEN 2 ELSE 1 END)) AS kind FROM (SELECT repo, artifact, file_no, path, kind, count(*) AS n FROM f WHERE path <> 'id' GROUP BY ALL) GROUP BY 1, 2, 3, 4),
+fi AS (SELECT repo, artifact, file_no, lag(file_no) OVER (PARTITION BY repo, artifact ORDER BY file_no) AS prev FROM (SELECT DISTINCT repo, artifact, file_no FROM raw_artifacts)),
+a AS (SELECT fi.repo, fi.artifact, fi.file_no, path, kind FROM fi JOIN ty ON ty.repo = fi.repo AND ty.artifact = fi.artifact AND ty.file_no = fi.prev),
+b AS (SELECT fi.repo, fi.artifact, fi.file_no, path, kind FROM fi JOIN ty ON ty.repo = fi.repo AND ty.artifact = fi.artifact AND ty.file_no = fi.file_no WHERE prev IS NOT NULL),
+gone AS (SELECT a.* FROM a ANTI JOIN b USING (repo, artifact, file_no, path)), come AS (SELECT b.* FROM b ANTI JOIN a USING (repo, artifact, file_no, path)),
+old AS (SELECT DISTINCT g.repo, g.artifact, g.file_no, id, g.path, val FROM gone g JOIN fi USING (repo, artifact, file_no) JOIN f ON f.repo = g.repo AND f.artifact = g.artifact AND f.file_no = fi.prev AND f.path = g.path JOIN ids USING (rec)),
+new AS (SELECT DISTINCT c.repo, c.artifact, c.file_no, id, c.path, val FROM come c JOIN f ON f.repo = c.repo AND f.artifact = c.artifact AND f.file_no = c.file_no AND f.path = c.path JOIN ids USING (rec)),
+per AS (SELECT o.repo, o.artifact, o.file_no, o.path AS field_path, n.path AS new_path, o.id, bool_or(o.val = n.val) AS same FROM old o JOIN new n ON o.repo = n.repo AND o.artifact = n.artifact AND o.file_no = n.file_no AND o.id = n.id GROUP BY ALL),
+mv AS (SELECT repo, artifact, file_no, field_path, new_path FROM per GROUP BY ALL HAVING 2 * count(*) FILTER (WHERE same) > count(*))
+SELECT repo, artifact, file_no, 'renamed' AS change, field_path, new_path FROM mv
+UNION ALL SELECT repo, artifact, file_no, 'removed', path, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM mv WHERE mv.repo = g.repo AND mv.artifact = g.artifact AND mv.file_no = g.file_no AND mv.field_path = g.path)
+UNION ALL SELECT repo, artifact, file_no, 'added', path, '' FROM come c WHERE NOT EXISTS (SELECT 1 FROM mv WHERE mv.repo = c.repo AND mv.artifact = c.artifact AND mv.file_no = c.file_no AND mv.new_path = c.path)
+UNION ALL SELECT a.repo, a.artifact, a.file_no, 'type_changed', a.path, '' FROM a JOIN b ON a.repo = b.repo AND a.artifact = b.artifact AND a.file_no = b.file_no AND a.path = b.path WHERE a.kind <> b.kind""",
     "p5_found": """
 WITH f AS (SELECT repo, snapshot_no, id, arg_max(struct_pack(v := metrics.cyclomatic_complexity), seq).v AS v FROM code_functions WHERE id IS NOT NULL GROUP BY ALL),
 sn AS (SELECT repo, snapshot_no, arg_max(hotspots, seq) AS hotspots FROM snapshots GROUP BY ALL),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import coupling, diff, graph, markers, metrics, projectors, rules, slices
-from ..operators.extract import extract_sources
 from ..runtime import checked_join, materialize, read
 
 # ---- building blocks -------------------------------------------------------------------------------
@@ -329,18 +328,6 @@ def q30(spark, where):
     return graph.layout(nation, coupling.percentile_normalise(_weights(spark, where), "weight"))
 
 
-SNIPPETS = [
-    ("pkg/a.py", "import os\nfrom abc import ABC\nfrom .util import x, y\n\nclass Base(ABC):\n    pass\n\ndef top(n):\n    # note\n    if n > 1 and n < 5:\n        for i in range(n):\n            print(i)\n    else:\n        return x(n)\n    return [v for v in y if v]\n"),
-    ("pkg/__init__.py", "from pkg.a import *\n"),
-    ("src/lib.rs", "use crate::model::{Item, Kind};\n\n// TODO(#4): more\npub fn run(n: u32) -> u32 {\n    if n > 3 && n < 9 {\n        helper(n)?\n    } else {\n        match n { 1 => 2, _ => 3 }\n    }\n}\n\nfn helper(n: u32) -> u32 { n }\n"),
-    ("web/index.ts", "import { a, b } from './lib';\nexport function go(x: number) {\n  for (const i of [1, 2]) {\n    if (i > x || x < 0) { a(i); }\n  }\n  return x ? b(x) : 0;\n}\nconst pick = (v: string) => v;\n"),
-]
-
-
-def q31(spark, where):
-    return extract_sources(spark.createDataFrame(SNIPPETS, "path string, content string"))["functions"]
-
-
 def q32(spark, where):
     return projectors.mermaid(_strong(spark, where).select("src", "dst", "value"), _martin(spark, where).select("module", F.col("martin.distance_from_main_sequence").alias("distance")))
 
@@ -400,7 +387,7 @@ QUERIES = {
     "c06_enclosing_functions": c06, "c07_module_bands": c07, "c08_strongest_pairs": c08, "c09_snapshot_hotspots": c09,
     "q01_function_metrics": q01, "q02_module_metrics": q02, "q03_halstead_documents": q03, "q04_line_counts": q04, "q04_line_state_fold": q04b, "q05_dependency_edges": q05, "q06_coupling_percentile": q06, "q07_composite_coupling": q07, "q08_martin": q08, "q09_slice_independence": q09, "q10_health": q10,
     "q11_layer_detect": q11, "q12_import_kind_score": q12, "q13_theta_resolve": q13, "q14_threshold_rules": q14, "q14_rule_results": q14b, "q14_rule_summary": q14c, "q15_exceptions_stale": q15, "q16_snapshot_diff": q16, "q16_diff_status": q16b, "q17_entity_diff": q17, "q18_hotspots_topk": q18, "q18_hotspots": q18b, "q19_json_field": q19, "q20_marker_scan": q20,
-    "q21_marker_summary": q21, "q22_matrix_validate": q22, "q22_matrix_mirror": q22b, "q23_slice_layer_pivot": q23, "q24_cluster_edges": q24, "q24_coupling_degree": q24b, "q25_neighbours": q25, "q25_strongest_partner": q25b, "q26_dedupe_first": q26, "q27_glob_exclude": q27, "q28_daily_snapshots": q28, "q29_reachable": q29, "q29_cycles": q29b, "q30_layout": q30, "q31_extract": q31,
+    "q21_marker_summary": q21, "q22_matrix_validate": q22, "q22_matrix_mirror": q22b, "q23_slice_layer_pivot": q23, "q24_cluster_edges": q24, "q24_coupling_degree": q24b, "q25_neighbours": q25, "q25_strongest_partner": q25b, "q26_dedupe_first": q26, "q27_glob_exclude": q27, "q28_daily_snapshots": q28, "q29_reachable": q29, "q29_cycles": q29b, "q30_layout": q30,
     "q32_mermaid": q32, "c01_code_module_metrics": c01, "c02_module_calls": c02, "c03_call_counts": c03, "c04_file_metrics": c04, "c05_slices": c05,
 }
 
@@ -442,6 +429,16 @@ c AS (SELECT doc_id, len(list_distinct(p)) AS n1, len(list_distinct(w)) AS n2, l
 v AS (SELECT *, CASE WHEN n1 + n2 > 0 THEN (t1 + t2) * log2(greatest(n1 + n2, 1)) ELSE 0.0 END AS v, CASE WHEN n2 > 0 THEN n1 / 2.0 * (t2 / n2) ELSE 0.0 END AS d FROM c)
 SELECT doc_id, CAST(n1 + n2 AS BIGINT) AS vocabulary, CAST(t1 + t2 AS BIGINT) AS length, round(v, 6) AS volume, round(d, 6) AS difficulty, round(d * v, 2) AS effort, round(d * v / 18, 6) AS time_to_implement, round(v / 3000, 6) AS estimated_bugs FROM v""",
     "q04_line_counts": "SELECT doc_id, count(*) AS total_lines, count(*) FILTER (WHERE trim(l, ' ') = '') AS blank_lines, count(*) FILTER (WHERE regexp_matches(l, '^\\s*(#|//)')) AS comment_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL) GROUP BY doc_id",
+    "q04_line_state_fold": """WITH l AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE list_transform(string_split_regex(regexp_replace(text, '\\r?\\n$', ''), '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) END AS ls FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, len(ls) AS total, list_reduce(list_transform(ls, lambda x: {'c': 0, 'b': 0, 'g': 0, 'i': false, 't': x}), lambda a, x: {
+  'c': a.c + CASE WHEN a.i OR starts_with(x.t, '/*') OR starts_with(x.t, '\"\"\"') OR starts_with(x.t, '//') OR starts_with(x.t, '#') THEN 1 ELSE 0 END,
+  'b': a.b + CASE WHEN NOT a.i AND x.t = '' THEN 1 ELSE 0 END,
+  'g': a.g + CASE WHEN NOT (a.i OR starts_with(x.t, '/*') OR starts_with(x.t, '\"\"\"') OR starts_with(x.t, '//') OR starts_with(x.t, '#')) AND x.t <> '' THEN 1 ELSE 0 END,
+  'i': CASE WHEN a.i THEN NOT (ends_with(x.t, '*/') OR ends_with(x.t, '\"\"\"')) ELSE (starts_with(x.t, '/*') OR starts_with(x.t, '\"\"\"')) AND NOT (ends_with(x.t, '*/') OR ends_with(x.t, '\"\"\"')) END,
+  't': x.t}, {'c': 0, 'b': 0, 'g': 0, 'i': false, 't': ''}) AS r FROM l)
+SELECT doc_id, total, r.g AS logical, r.c AS comment, r.b AS blank FROM s""",
+    "q32_mermaid": f"""WITH {_TRADE}, {_MARTIN_SQL}, n AS (SELECT '0' || module AS o, '    ' || module || '["' || module || '"]' || CASE WHEN abs(i - 1) > 0.6 THEN ':::danger' WHEN abs(i - 1) > 0.3 THEN ':::warning' ELSE '' END AS l FROM ma UNION ALL SELECT '1' || src || ' ' || dst, '    ' || src || ' -->|' || CAST(floor(value * 100) AS BIGINT) || '%| ' || dst FROM st WHERE src < dst)
+SELECT 'flowchart TD' || chr(10) || '    classDef danger fill:#f66' || chr(10) || '    classDef warning fill:#fc6' || chr(10) || string_agg(l, chr(10) ORDER BY o) AS text FROM n""",
     "q05_dependency_edges": f"WITH {_TRADE} SELECT src, dst, weight FROM ed",
     "q06_coupling_percentile": f"WITH {_TRADE} SELECT src, dst, weight, round(value, 6) AS value FROM pr",
     "q07_composite_coupling": f"""WITH {_TRADE}, a AS (SELECT src, dst, count(*) AS n, count(DISTINCT l_partkey) AS p, sum(l_quantity) AS q FROM tr GROUP BY ALL),

@@ -1,12 +1,12 @@
 import pytest
 
-from strataloom.plans import problem_queries, star_queries
+from strataloom.plans import code_queries, problem_queries, star_queries
 
 from .oracle import connect, same
 
 WHERE = "/root/testdata/sf0.001"
-ALL = {**star_queries.QUERIES, **problem_queries.QUERIES}
-SQL = {**star_queries.SQL, **problem_queries.SQL}
+ALL = {**star_queries.QUERIES, **code_queries.QUERIES, **problem_queries.QUERIES}
+SQL = {**star_queries.SQL, **code_queries.SQL, **problem_queries.SQL}
 
 
 @pytest.fixture(scope="module")
