@@ -180,7 +180,7 @@ def import_coupling(spark, where):
 hi AS (SELECT DISTINCT path, module FROM pa JOIN mo ON contains(path, name) OR contains(module, path) OR len(list_filter(string_split(path, '::'), lambda s: s <> '' AND contains(module, s))) > 0)
 SELECT src, hi.module AS dst, count(*) AS imports FROM en JOIN hi ON en.dst = hi.path WHERE src <> hi.module GROUP BY ALL""")
 def import_coupling_loose(spark, where):
-    return coupling.resolve_imports(_imports(spark, where), _modules(spark, where)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("imports"))
+    return coupling.import_counts(_imports(spark, where), _modules(spark, where))
 
 
 _CALLS = f"""WITH {_ENDS}, ca AS (SELECT DISTINCT callee, CASE WHEN contains(callee, '::') THEN split_part(callee, '::', 1) END AS first FROM en),

@@ -11,6 +11,7 @@ from strataloom import api, cli
 from strataloom.functions import expressions as X
 from strataloom.operators import coupling, diff, graph, markers, metrics, packages, projectors, rules, slices
 from strataloom.operators.extract import default_registry, extract_sources, parse_files, register_configured
+from strataloom.plans import code_queries
 from strataloom.sources import readers, sinks
 from strataloom.streaming import changed_files, retained, stream_counts, stream_files
 
@@ -138,6 +139,33 @@ def test_resolving_imports_calls_and_types(spark):
     assert rows(metrics.type_counts(types)) == [("crate::model", 1, 0), ("z", 1, 1)]
 
 
+def test_import_counts_equal_resolved_imports(spark):
+    mods = spark.createDataFrame([(m,) for m in ("crate::model", "crate::api", "util", "größe::model", "a/model", "", "x::", None, "util")], "module string")
+    cells = [("crate::api", "crate::model::Item", False), ("crate::api", "crate::model::Item", False), ("crate::model", "crate::model", False), ("util", "serde", True), ("crate::api", "super::util", False), ("z", "größe", False), ("z", "model", False), ("z", "nothing", False), ("z", "", False), ("", "a/model", False), (None, "util", False), ("z", None, False)]
+    imports = spark.createDataFrame(cells, "from_module string, import_path string, is_external boolean")
+    want = rows(coupling.resolve_imports(imports, mods).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("imports")))
+    assert ("crate::api", "crate::model", 2) in want and ("z", "größe::model", 3) in want and ("z", "", 4) in want
+    for limit in (16 << 20, 250):  # one block; some blocks, after pieces that are shuffled
+        assert rows(coupling.import_counts(imports, mods, limit)) == want
+    assert coupling.import_counts(imports, mods.limit(0)).count() == coupling.import_counts(imports.limit(0), mods).count() == 0
+
+
+def test_import_coupling_loose_does_not_shuffle_its_pairs(spark, tmp_path):
+    n = 300  # each path may mean each module
+    spark.createDataFrame([(f"rust:repo{i}::shared::f", f"rust:lib{i}::shared::g") for i in range(n)], "from_id string, to_id string").write.parquet(f"{tmp_path}/call_graph_edges.parquet")
+    spark.createDataFrame([(f"repo{i}::shared",) for i in range(n)], "id string").write.parquet(f"{tmp_path}/code_modules.parquet")
+
+    def written():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    got = code_queries.QUERIES["x04_import_coupling_loose"](spark, str(tmp_path)).groupBy("imports").count().collect()
+    assert [tuple(r) for r in got] == [(1, n * (n - 1))]
+    assert sum(v for k, v in written().items() if k not in before) < n * n / 4
+
+
 def test_composite_and_percentile(spark):
     e = lambda *r: spark.createDataFrame(list(r), "src string, dst string, value double")
     parts = {"import": e(("a", "b", 2.0), ("b", "c", 1.0), ("a", "a", 9.0), ("a", "gone", 9.0)), "call": e(("a", "b", 4.0), ("c", "a", 0.5)), "type": e(("b", "c", 1.0))}
